@@ -53,3 +53,15 @@ def with_cases(body: str, *extra: str, scores: bool = False) -> str:
         ctes.append(SCORES_CTES.strip())
     ctes += [e.strip() for e in extra]
     return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+
+
+def auc_sql(src: str, by: list[str], score: str = "score", label: str = "label") -> str:
+    """AUC per group with ties counted half, from distinct-score counts."""
+    b = ", ".join(by)
+    bc = (b + ", ") if by else ""
+    part = f"PARTITION BY {b} " if by else ""
+    return f"""(SELECT {bc}sum(n_pos * (2 * neg_below + n_neg)) / (2.0 * sum(n_pos) * sum(n_neg)) AS auc,
+   CAST(sum(n_pos) AS BIGINT) AS n_pos, CAST(sum(n_neg) AS BIGINT) AS n_neg FROM (
+  SELECT *, coalesce(sum(n_neg) OVER ({part}ORDER BY {score} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+  FROM (SELECT {bc}{score}, sum({label}) AS n_pos, sum(1 - {label}) AS n_neg FROM {src} GROUP BY {bc}{score})
+) {"GROUP BY " + b if by else ""})"""
