@@ -57,3 +57,96 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     return (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
               .select(label, "n", round6(F.col("n") / F.sum("n").over(total)).alias("share"),
                       F.lit(len(df.columns)).cast("bigint").alias("n_columns")))
+
+
+def _pair_corr(x: str, y: str):
+    """Pearson correlation over rows where both are present; NULL (not an
+    error) for a constant column: covar_pop / (sd_x * sd_y) with try_divide
+    (``corr`` raises DIVIDE_BY_ZERO under ANSI mode)."""
+    cx, cy = F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")
+    mx = F.when(cy.isNotNull(), cx)
+    my = F.when(cx.isNotNull(), cy)
+    return F.try_divide(F.covar_pop(cx, cy), F.stddev_pop(mx) * F.stddev_pop(my))
+
+
+def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """the full correlation matrix in long form (a, b, corr), all pairs
+    from ONE aggregate of pairwise moments."""
+    cols = list(cols)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    row = df.agg(*[_pair_corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    structs = []
+    for k, (a, b) in enumerate(pairs):
+        structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("corr")))
+        if a != b:
+            structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"p{k}").alias("corr")))
+    return row.select(F.inline(F.array(*structs)))
+
+
+def target_corr(df: DataFrame, cols: Sequence[str], label: str = "label", fill: float | None = 0.0) -> DataFrame:
+    """(feature, corr, n_present): correlation of each feature (NULL -> fill)
+    with the target, one aggregate."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(f"`{c}`").cast("double")
+        xf = F.coalesce(x, F.lit(fill)) if fill is not None else x
+        y = F.col(label).cast("double")
+        aggs += [F.try_divide(F.covar_pop(xf, y), F.stddev_pop(xf) * F.stddev_pop(F.when(xf.isNotNull(), y))).alias(f"c{i}"),
+                 F.count(x).alias(f"n{i}")]
+    row = df.agg(*aggs)
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("corr"),
+                                                   F.col(f"n{i}").alias("n_present")) for i, c in enumerate(cols)])))
+
+
+def leak_screen(df: DataFrame, cols: Sequence[str], label: str = "label", threshold: float = 0.7,
+                top: int = 10) -> DataFrame:
+    """features whose correlation (NULL -> 0) with the target exceeds
+    ``threshold`` in absolute value, strongest first, at most ``top``;
+    all-NULL columns are skipped."""
+    tc = target_corr(df, cols, label).where((F.col("n_present") > 0) & (F.abs("corr") > threshold))
+    w = Window.orderBy(F.abs("corr").desc(), F.col("feature"))   # over <= len(cols) rows
+    return tc.select("feature", "corr", F.row_number().over(w).cast("int").alias("rank")).where(F.col("rank") <= top)
+
+
+def importance(df: DataFrame, cols: Sequence[str], label: str = "label") -> DataFrame:
+    """Univariate importance table (feature, importance): |corr| with the
+    target, normalised to sum 1 (a data-derived stand-in for model
+    importances where an exact oracle is needed)."""
+    tc = target_corr(df, cols, label).select("feature", F.coalesce(F.abs("corr"), F.lit(0.0)).alias("raw"))
+    return tc.select("feature", (F.col("raw") / F.sum("raw").over(Window.partitionBy())).alias("importance"))
+
+
+def top_k(imp: DataFrame, k: int, value: str = "importance", name: str = "feature") -> DataFrame:
+    """Sort descending (name breaks ties) and keep k - a top-k report."""
+    return imp.orderBy(F.col(value).desc(), F.col(name)).limit(k)
+
+
+def select_cumulative(imp: DataFrame, threshold: float = 0.8, at_least: int = 10,
+                      value: str = "importance", name: str = "feature") -> DataFrame:
+    """Normalise, running share in descending order, keep share <= threshold;
+    if fewer than ``at_least`` pass, keep the top ``at_least`` instead."""
+    w_all = Window.partitionBy()
+    w = Window.orderBy(F.col(value).desc(), F.col(name))
+    w = Window.orderBy(F.col("norm").desc(), F.col(name))
+    t = imp.select(name, (F.col(value) / F.sum(value).over(w_all)).alias("norm"))
+    t = t.select(name, "norm", F.sum("norm").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
+                 F.row_number().over(w).alias("rank"))
+    t = t.withColumn("n_pass", F.sum((F.col("cum") <= threshold).cast("int")).over(w_all))
+    return t.where(F.when(F.col("n_pass") >= at_least, F.col("cum") <= threshold)
+                   .otherwise(F.col("rank") <= at_least)).drop("n_pass")
+
+
+def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), relative_error: float = 0.0) -> DataFrame:
+    """count, mean, sample sd, min, quartiles (linear interpolation), max."""
+    from featflow.operators.quantiles import quantile_expr
+    out = None
+    for c in cols:
+        x = F.col(f"`{c}`").cast("double")
+        q = quantile_expr(c, [0.25, 0.5, 0.75], relative_error)
+        part = df.groupBy(*by).agg(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                                   F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"),
+                                   F.max(x).alias("max"))
+        part = part.select(*by, "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
+                           F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+        out = part if out is None else out.unionByName(part)
+    return out

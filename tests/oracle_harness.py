@@ -103,6 +103,6 @@ if __name__ == "__main__":
         try:
             res.append(compare(spark, n, sf, con))
         except Exception as e:  # report and continue
-            print(f"ERR {n}: {type(e).__name__}: {str(e)[:1500]}")
+            print(f"ERR {n}: {type(e).__name__}: {str(e)[:700]}")
             res.append({"name": n, "ok": False, "msg": str(e)[:200]})
     print(f"{sum(1 for r in res if r['ok'])}/{len(res)} ok; {sum(1 for r in res if r['ok'] is None)} rows-only")
