@@ -58,6 +58,8 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose=True):
     scols = sdf.columns
     oracle = E.oracle_sql().get(name)
     if oracle is None:
+        if verbose:
+            print(f"ROW {name}: {len(srows)} rows {t1 - t0:.1f}s (no oracle)")
         return {"name": name, "ok": None, "rows": len(srows), "sec": t1 - t0, "msg": "no oracle"}
     ores = con.execute(oracle)
     ocols = [d[0] for d in ores.description]
