@@ -218,3 +218,35 @@ class Target(StatEstimator):
                 v = (r["n"] * r["mean"] + conf["smoothing"] * prior) / (r["n"] + conf["smoothing"])
             values.setdefault(r["column"], {})[r["value"]] = v
         return {"values": values, "prior": prior}
+
+
+def align_columns(frames: list[DataFrame], keep: Sequence[str], fill=0) -> list[DataFrame]:
+    """H1: outer column alignment - every frame gets the union of the other
+    columns (sorted by name), absent ones filled with ``fill``."""
+    names = sorted({c for f in frames for c in f.columns if c not in keep})
+    out = []
+    for f in frames:
+        have = set(f.columns)
+        out.append(f.select(*[F.col(f"`{k}`") for k in keep],
+                            *[(F.col(f"`{n}`") if n in have else F.lit(fill)).alias(n) for n in names]))
+    return out
+
+
+def rename_positional(df: DataFrame, keep: Sequence[str], prefix: str = "f") -> DataFrame:
+    """Rename every non-kept column to f0, f1, ... in column order."""
+    others = [c for c in df.columns if c not in keep]
+    return df.select(*[F.col(f"`{k}`") for k in keep],
+                     *[F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(others)])
+
+
+def assert_no_unseen(model: OrdinalModel, df: DataFrame) -> None:
+    """Strict ordinal encoding - raise if ``df`` holds a level the model
+    never saw (one anti-join job per column set, only the offending levels
+    reach the driver, at most 20)."""
+    codes = model.fitted.get("codes", {})
+    spark = df.sparkSession
+    seen = spark.createDataFrame([(c, v) for c, m in codes.items() for v in m], "column string, value string")
+    lv = long_values(df, model.conf["cols"]).where(F.col("value").isNotNull()).distinct()
+    bad = lv.join(F.broadcast(seen), ["column", "value"], "left_anti").limit(20).collect()
+    if bad:
+        raise ValueError("unseen levels: " + ", ".join(f"{r['column']}={r['value']}" for r in bad))

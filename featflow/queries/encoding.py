@@ -131,3 +131,33 @@ def encode_target(spark, sf_dir):
     add = Target(["segment_additive"], label=LABEL, mode="additive").fit(train)
     out = add.transform(sig.transform(df))  # one projection, no join
     return out.select(KEY, *[round6(c).alias(c) for c in _D7 + ["segment_additive"]])
+
+
+# ------------------------------------------------------------ B25 / D6 / H1
+from featflow.operators.encode import align_columns, rename_positional  # noqa: E402
+
+_D6 = ["priority", "status"]
+_D6_NAMES = sorted([f"priority_{v}" for v in ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "nan"]]
+                   + [f"status_{v}" for v in ["F", "O", "P", "nan"]])
+
+
+def _dummy_sql(name):
+    col, level = name.split("_", 1)
+    if level == "nan":
+        return f"CAST({col} IS NULL AS INTEGER)"
+    return f"CAST(coalesce({col} = '{level}', false) AS INTEGER)"
+
+
+@query("onehot_align", with_cases("SELECT case_id, split, " + ", ".join(
+    f"{_dummy_sql(n)} AS f{i}" for i, n in enumerate(_D6_NAMES)) + " FROM cases"))
+def onehot_align(spark, sf_dir):
+    """D6 + H1 + B25: dummies with a NaN column fitted on each split
+    separately (as the reference's get_dummies does), outer-aligned with 0
+    fill, then renamed f0..fn."""
+    df = cases(spark, sf_dir).select(KEY, SPLIT, *_D6)
+    parts = []
+    for s in ("train", "test"):
+        rows = df.where(F.col(SPLIT) == s)
+        parts.append(OneHot(_D6, dummy_na=True).fit(rows).transform(rows))
+    a, b = align_columns(parts, keep=[KEY, SPLIT])
+    return rename_positional(a.unionByName(b), keep=[KEY, SPLIT])
