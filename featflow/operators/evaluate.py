@@ -26,7 +26,7 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str = "score", label:
 
 
 def auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label",
-        n_buckets: int = 64) -> DataFrame:
+        n_buckets: int = 1024) -> DataFrame:
     """(by..., auc, n_pos, n_neg) per group."""
     by = list(by)
     g = score_counts(df, by, score, label)
@@ -39,7 +39,7 @@ def auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str
 
 
 def roc_curve(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label",
-              n_buckets: int = 64) -> DataFrame:
+              n_buckets: int = 1024) -> DataFrame:
     """One point per distinct threshold (all points kept):
     (by..., threshold, fpr, tpr) with tpr / fpr over scores >= threshold."""
     by = list(by)

@@ -10,8 +10,11 @@ table, and a window partitioned by (group, bucket) numbers rows locally.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +26,13 @@ def seeded_hash(key, seed: int | str = 42) -> Column:
 
 
 def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int | str = 42,
-              name: str = "rank", prefix_len: int = 3) -> DataFrame:
+              name: str = "rank", prefix_len: int = 4) -> DataFrame:
     """Add ``name`` = 1-based row_number() within ``by`` ordered by the seeded
-    hash of ``key`` (ties broken by the key itself)."""
+    hash of ``key`` (ties broken by the key itself).
+
+    ``prefix_len`` hex digits give 16**prefix_len buckets per group (65,536 by
+    default: ~15 M rows per window task at 10**12 rows; the offsets table is
+    groups x buckets rows, about 1 MB per group)."""
     h = seeded_hash(key, seed)
     d = df.withColumn("_h", h).withColumn("_bkt", F.substring("_h", 1, prefix_len))
     counts = d.groupBy(*by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
@@ -38,23 +45,30 @@ def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int | str =
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str],
-                n_buckets: int = 64, inclusive: bool = False, suffix: str = "_cum") -> DataFrame:
+                n_buckets: int = 1024, inclusive: bool = False, suffix: str = "_cum") -> DataFrame:
     """Running sums of ``values`` in ascending ``order`` within ``by``,
     without a one-task window.
 
-    Rows are bucketed by approximate quantiles of ``order`` (a small array,
-    fixed size), bucket totals give offsets, and the local running sum is a
-    window per (group, bucket). ``inclusive=False`` sums strictly preceding
+    Rows are bucketed by approximate quantiles of ``order`` (at most
+    ``n_buckets`` - 1 cut points, looked up by binary search), bucket totals
+    give offsets over a groups x buckets table, and the local running sum is
+    a window per (group, bucket). The result is exact whatever the cuts are;
+    they only balance the work. ``inclusive=False`` sums strictly preceding
     rows only. ``order`` must be unique within ``by`` (aggregate first).
     """
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = []
     if probs:  # one small job: n_buckets - 1 numbers reach the driver
         row = df.agg(F.percentile_approx(order, probs, 10000).alias("q")).first()
-        cuts = sorted(set(x for x in (row["q"] or []) if x is not None))
-    arr = F.array(*[F.lit(float(x)) for x in cuts]) if cuts else F.array().cast("array<double>")
-    # bucket = number of cut points strictly below the value (monotone in order)
-    d = df.withColumn("_bkt", F.size(F.filter(arr, lambda q: q < F.col(order))))
+        cuts = sorted(set(float(x) for x in (row["q"] or []) if x is not None and not math.isnan(x)))
+    if cuts:
+        # JVM binary search per row; buckets are monotone in ``order`` (NaN last)
+        splits = [-math.inf] + cuts + [math.inf]
+        d = Bucketizer(splits=splits, inputCol=order, outputCol="_bkt", handleInvalid="keep").transform(
+            df.withColumn(order, F.col(order).cast("double")) if dict(df.dtypes)[order] != "double" else df)
+        d = d.withColumn("_bkt", F.col("_bkt").cast("int"))
+    else:
+        d = df.withColumn("_bkt", F.lit(0))
     tot = d.groupBy(*by, "_bkt").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")

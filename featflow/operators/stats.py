@@ -137,16 +137,17 @@ def select_cumulative(imp: DataFrame, threshold: float = 0.8, at_least: int = 10
 
 
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), relative_error: float = 0.0) -> DataFrame:
-    """count, mean, sample sd, min, quartiles (linear interpolation), max."""
+    """count, mean, sample sd, min, quartiles (linear interpolation), max
+    of every column - ONE scan: the columns are unpivoted to (column, x) and
+    aggregated per (group, column)."""
     from featflow.operators.quantiles import quantile_expr
-    out = None
-    for c in cols:
-        x = F.col(f"`{c}`").cast("double")
-        q = quantile_expr(c, [0.25, 0.5, 0.75], relative_error)
-        part = df.groupBy(*by).agg(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                                   F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"),
-                                   F.max(x).alias("max"))
-        part = part.select(*by, "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
-                           F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
-        out = part if out is None else out.unionByName(part)
-    return out
+    by = list(by)
+    long = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]) \
+             .unpivot(by, list(cols), "column", "x")
+    x = F.col("x")
+    q = quantile_expr("x", [0.25, 0.5, 0.75], relative_error)
+    agg = long.groupBy(*by, "column").agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
+                                          F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"),
+                                          F.max(x).alias("max"))
+    return agg.select(*by, "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
+                      F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
