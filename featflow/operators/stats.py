@@ -70,32 +70,36 @@ def _pair_corr(x: str, y: str):
 
 
 def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """the full correlation matrix in long form (a, b, corr), all pairs
-    from ONE aggregate of pairwise moments."""
+    """the full correlation matrix in long form (a, b, corr) in one scan:
+    each row is expanded to one (a, b, xa, xb) row per column pair (narrow)
+    and aggregated per pair; the mirror half is copied from the small result."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[_pair_corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    structs = []
-    for k, (a, b) in enumerate(pairs):
-        structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("corr")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"p{k}").alias("corr")))
-    return row.select(F.inline(F.array(*structs)))
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    ex = d.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("xa"),
+                                               F.col(b).alias("xb")) for a, b in pairs])).alias("p")).select("p.*")
+    xa, xb = F.col("xa"), F.col("xb")
+    half = ex.groupBy("a", "b").agg(F.try_divide(
+        F.covar_pop(xa, xb), F.stddev_pop(F.when(xb.isNotNull(), xa)) * F.stddev_pop(F.when(xa.isNotNull(), xb))
+    ).alias("corr"))
+    mirror = half.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
+    return half.unionByName(mirror)
 
 
 def target_corr(df: DataFrame, cols: Sequence[str], label: str = "label", fill: float | None = 0.0) -> DataFrame:
     """(feature, corr, n_present): correlation of each feature (NULL -> fill)
-    with the target, one aggregate."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
-        xf = F.coalesce(x, F.lit(fill)) if fill is not None else x
-        y = F.col(label).cast("double")
-        aggs += [F.try_divide(F.covar_pop(xf, y), F.stddev_pop(xf) * F.stddev_pop(F.when(xf.isNotNull(), y))).alias(f"c{i}"),
-                 F.count(x).alias(f"n{i}")]
-    row = df.agg(*aggs)
-    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("corr"),
-                                                   F.col(f"n{i}").alias("n_present")) for i, c in enumerate(cols)])))
+    with the target. One scan: the features are unpivoted to (feature, x, y)
+    rows (a narrow Expand) and aggregated per feature - a small expression
+    per row instead of one very wide aggregate."""
+    long = df.select(F.col(label).cast("double").alias("_y"),
+                     *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]) \
+             .unpivot(["_y"], list(cols), "feature", "x")
+    x = F.col("x")
+    xf = F.coalesce(x, F.lit(fill)) if fill is not None else x
+    y = F.col("_y")
+    return long.groupBy("feature").agg(
+        F.try_divide(F.covar_pop(xf, y), F.stddev_pop(xf) * F.stddev_pop(F.when(xf.isNotNull(), y))).alias("corr"),
+        F.count(x).alias("n_present"))
 
 
 def leak_screen(df: DataFrame, cols: Sequence[str], label: str = "label", threshold: float = 0.7,
