@@ -64,9 +64,9 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, values: Sequence[s
     if cuts:
         # JVM binary search per row; buckets are monotone in ``order`` (NaN last)
         splits = [-math.inf] + cuts + [math.inf]
-        d = Bucketizer(splits=splits, inputCol=order, outputCol="_bkt", handleInvalid="keep").transform(
-            df.withColumn(order, F.col(order).cast("double")) if dict(df.dtypes)[order] != "double" else df)
-        d = d.withColumn("_bkt", F.col("_bkt").cast("int"))
+        d = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bkt", handleInvalid="keep").transform(
+            df.withColumn("_ord", F.col(order).cast("double")))
+        d = d.withColumn("_bkt", F.col("_bkt").cast("int")).drop("_ord")
     else:
         d = df.withColumn("_bkt", F.lit(0))
     tot = d.groupBy(*by, "_bkt").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])

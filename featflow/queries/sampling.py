@@ -59,7 +59,7 @@ def kfold_stratified(spark, sf_dir):
 
 
 @query("class_weights", with_cases(f"""
-SELECT case_id, label, CASE WHEN label = 1 THEN 3.0 ELSE 1.0 END AS w_explicit,
+SELECT case_id, label, CASE WHEN label = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w_explicit,
   {r6('n_all / (2 * n_c)')} AS w_balanced, {r6('CASE WHEN label = 1 THEN n_neg / n_c ELSE 1.0 END')} AS w_scale_pos
 FROM (SELECT case_id, label, count(*) OVER (PARTITION BY label) AS n_c, count(*) OVER () AS n_all,
              sum(1 - label) OVER () AS n_neg FROM cases WHERE split = 'train')"""))
