@@ -75,3 +75,35 @@ def test_stream_scoring_with_fitted_pipeline(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.x for r in spark.sql("SELECT x FROM scored").collect()) == [0.0, 0.5, 1.0]
+
+
+def test_quick_leak_check_and_top_feature_retrain(spark, sf_small):
+    from featflow.plans import training as T
+    from featflow.queries.modeling import FEATURES, prepared
+    tr, te = prepared(spark, sf_small)
+    top = T.quick_leak_check(tr, "case_id", FEATURES, n=300, top=5, max_iter=5)
+    assert len(top) == 5 and top[0][0] in ("totalprice", "band")       # the planted signal dominates
+    raw_tr, raw_te = tr.drop("features"), te.drop("features")
+    res = T.compare_top_features(raw_tr, raw_te, FEATURES, k=3,
+                                 make=lambda: M.forest(num_trees=10, max_depth=5))
+    assert len(res["top_features"]) == 3 and res["auc_all"] > 0.6 and res["auc_top"] > 0.6
+    tr.unpersist()
+
+
+def test_holdout_search_picks_best(spark, sf_small):
+    from featflow.operators.sample import stratified_holdout
+    from featflow.plans import training as T
+    from featflow.queries.modeling import prepared
+    tr, _ = prepared(spark, sf_small)
+    parts = stratified_holdout(tr, "case_id", "label", 0.2)
+    grid = [{"C": c} for c in (0.01, 1.0, 100.0)]
+    best, best_auc, results = T.holdout_search(parts.where("part = 'fit'"), parts.where("part = 'holdout'"),
+                                               lambda C: M.logistic(C=C, n_rows=1000), grid, n_iter=2)
+    assert best_auc == max(a for _, a in results) and len(results) == 2
+    tr.unpersist()
+
+
+def test_select_by_type(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "i int, s string, d double")
+    assert IO.select_by_type(df, numeric=True).columns == ["i", "d"]
+    assert IO.select_by_type(df, numeric=False).columns == ["s"]
