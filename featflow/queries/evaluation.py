@@ -59,26 +59,28 @@ def threshold_apply(spark, sf_dir):
     return out.select("case_id", "model", F.col("score").alias("probability"), "class")
 
 
-@query("classification_report", _sc("""
+CM_SQL = """cm AS (
+  SELECT model,
+    CAST(sum(CASE WHEN label = 1 AND score >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+    CAST(sum(CASE WHEN label = 0 AND score >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(sum(CASE WHEN label = 1 AND score < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+    CAST(sum(CASE WHEN label = 0 AND score < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tn
+  FROM scores GROUP BY model)"""
+PRF_SQL = """prf AS (
+  SELECT *, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1,
+    tn + fp AS s0, tp + fn AS s1, tp + tn + fp + fn AS n
+  FROM (SELECT *, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0,
+               coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1 FROM cm))"""
+
+
+@query("classification_report", with_cases("""
 SELECT model, row, """ + ", ".join(f"{r6(c)} AS {c}" for c in ("precision", "recall", "f1")) + """, support FROM (
-  SELECT model, '0' AS row, coalesce(tn / nullif(tn + fn, 0), 0) AS precision, coalesce(tn / nullif(tn + fp, 0), 0) AS recall,
-    coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f1, tn + fp AS support FROM cm
-  UNION ALL SELECT model, '1', p1, r1, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0), tp + fn FROM cm
-  UNION ALL SELECT model, 'accuracy', NULL, NULL, (tp + tn) / (tp + tn + fp + fn), tp + tn + fp + fn FROM cm
-  UNION ALL SELECT model, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2,
-    (coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) + coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0)) / 2, tp + tn + fp + fn FROM cm
-  UNION ALL SELECT model, 'weighted avg', (p0 * (tn + fp) + p1 * (tp + fn)) / (tp + tn + fp + fn),
-    (r0 * (tn + fp) + r1 * (tp + fn)) / (tp + tn + fp + fn),
-    (coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) * (tn + fp) + coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) * (tp + fn)) / (tp + tn + fp + fn),
-    tp + tn + fp + fn FROM cm)""".replace("FROM cm", "FROM cm2")).replace(
-    "WITH ", "WITH ", 1).replace("\nSELECT model, row,", """,
-cm AS (SELECT model, CAST(sum(CASE WHEN label = 1 AND score >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
-  CAST(sum(CASE WHEN label = 0 AND score >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
-  CAST(sum(CASE WHEN label = 1 AND score < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
-  CAST(sum(CASE WHEN label = 0 AND score < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM scores GROUP BY model),
-cm2 AS (SELECT *, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0,
-  coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1 FROM cm)
-SELECT model, row,""", 1))
+  SELECT model, '0' AS row, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS support FROM prf
+  UNION ALL SELECT model, '1', p1, r1, f1, s1 FROM prf
+  UNION ALL SELECT model, 'accuracy', NULL, NULL, (tp + tn) / n, n FROM prf
+  UNION ALL SELECT model, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM prf
+  UNION ALL SELECT model, 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n
+  FROM prf)""", CM_SQL, PRF_SQL, scores=True))
 def classification_report(spark, sf_dir):
     """K4/K5: per-class precision / recall / F1 / support, accuracy, macro and
     weighted averages at threshold 0.5, per model."""
