@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "featflow",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings the library assumes.
 
     AQE stays on so shuffle partition counts and join strategies are
@@ -26,6 +26,8 @@ def build_session(master: str | None = None, app: str = "featflow",
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:  # only effective when this call starts the JVM (local mode)
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -107,3 +107,15 @@ def test_select_by_type(spark):
     df = spark.createDataFrame([(1, "a", 2.0)], "i int, s string, d double")
     assert IO.select_by_type(df, numeric=True).columns == ["i", "d"]
     assert IO.select_by_type(df, numeric=False).columns == ["s"]
+
+
+def test_queries_release_their_caches(spark, sf_small):
+    """Queries that persist training tables must release them (the driver runs
+    every query in one session)."""
+    import __spark_entry__ as E
+    jsc = spark.sparkContext._jsc
+    before = jsc.getPersistentRDDs().size()
+    for name in ("train_gbt", "train_lr", "train_adaboost", "stack_oof", "learning_curve", "blend_search",
+                 "preprocess_chain"):
+        E.queries()[name](spark, sf_small).collect()
+        assert jsc.getPersistentRDDs().size() == before, name
