@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from featflow.functions.parse import round2
 from featflow.operators.ranking import hash_rank
+from featflow.session import ensure_checkpoint_dir
 from featflow.sources.tables import read_table
 
 CATEGORICAL = ["priority", "status", "segment", "nation", "region", "band", "count_str"]
@@ -78,11 +79,21 @@ def score_columns(c: DataFrame) -> DataFrame:
     )
 
 
-def scores(spark: SparkSession, sf_dir: str, n_folds: int = 5, seed: int = 42) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, n_folds: int = 5, seed: int = 42,
+           materialize: bool = True) -> DataFrame:
     """Long table (case_id, fold, model, score, label); fold is stratified:
-    (rank by seeded hash within label - 1) mod n_folds."""
+    (rank by seeded hash within label - 1) mod n_folds.
+
+    It stands for the stored long score table that training writes once, so
+    it is materialised with a reliable checkpoint in the shared folder: the
+    evaluation operators read it several times (their exact two-level prefix
+    sums need two passes) without re-running the joins and the seeded rank."""
     c = cases(spark, sf_dir).select("case_id", "totalprice", "label")
     ranked = hash_rank(score_columns(c), "case_id", by=["label"], seed=seed, name="_r")
     wide = ranked.withColumn("fold", ((F.col("_r") - 1) % n_folds).cast("int")).drop("_r")
-    return (wide.unpivot(["case_id", "fold", "label"], ["a", "b", "c"], "model", "score")
-                .select("case_id", "fold", "model", "score", "label"))
+    out = (wide.unpivot(["case_id", "fold", "label"], ["a", "b", "c"], "model", "score")
+               .select("case_id", "fold", "model", "score", "label"))
+    if materialize:
+        ensure_checkpoint_dir(spark)
+        out = out.checkpoint(eager=True)
+    return out
