@@ -33,7 +33,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.9g}")
+        return v if STRICT else float(f"{v:.9g}")
     if isinstance(v, bool):
         return int(v)
     if hasattr(v, "tolist"):
@@ -83,10 +83,15 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose=True):
     return {"name": name, "ok": ok, "rows": len(srows), "sec": t1 - t0, "msg": "; ".join(msg)}
 
 
+STRICT = False
+
+
 def _eq(x, y):
     if isinstance(x, tuple) and isinstance(y, tuple):
         return len(x) == len(y) and all(_eq(a, b) for a, b in zip(x, y))
     if isinstance(x, (int, float)) and isinstance(y, (int, float)) and not isinstance(x, bool):
+        if STRICT:
+            return float(x) == float(y)
         return math.isclose(float(x), float(y), rel_tol=1e-9, abs_tol=1e-12)
     return x == y
 
@@ -96,6 +101,9 @@ if __name__ == "__main__":
     from featflow.session import build_session
     sf = "/root/testdata/sf0.01"
     names = sys.argv[1:]
+    if names and names[0] == "--strict":
+        STRICT = True
+        names = names[1:]
     spark = build_session("local[8]", shuffle_partitions=8)
     import __spark_entry__ as E
     names = names or list(E.queries())
