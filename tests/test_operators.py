@@ -137,3 +137,20 @@ def test_stage_persistence(spark, small, tmp_path):
     a = p.transform(small).orderBy("id").collect()
     b = q.transform(small).orderBy("id").collect()
     assert a == b
+
+
+def test_exact_quantiles_distributed_matches_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from featflow.operators.quantiles import exact_quantiles
+    rnd = random.Random(5)
+    vals = [(rnd.random() * 10, float(rnd.randint(0, 3))) for _ in range(3000)]
+    df = spark.createDataFrame(vals, "a double, b double")
+    ps = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    for kw in ({}, {"accuracy": 50, "max_collect": 40}):      # second: forces histogram narrowing
+        got = exact_quantiles(df, ["a", "b"], ps, **kw)
+        for j, c in enumerate("ab"):
+            exp = np.quantile(np.array([v[j] for v in vals]), ps)
+            assert max(abs(g - e) for g, e in zip(got[c], exp)) == 0.0
