@@ -59,6 +59,12 @@ class Impute(StatEstimator):
         if st in ("constant", "label"):
             v = conf["value"] if conf["value"] is not None else (0 if st == "constant" else "Unknown")
             return {"values": {c: v for c in cols}}
+        if st == "median" and not conf["relative_error"]:   # distributed exact median
+            from featflow.operators.quantiles import column_quantiles
+            q = column_quantiles(df, cols, [0.5], 0.0, by=conf.get("by"))
+            if conf.get("by"):
+                return {"by_group": {g: {c: v[0] for c, v in per.items()} for g, per in q.items()}}
+            return {"values": {c: v[0] for c, v in q.items()}}
         aggs = [_stat(c, st, conf["relative_error"]).alias(f"s{i}") for i, c in enumerate(cols)]
         if conf.get("by"):
             rows = df.groupBy(conf["by"]).agg(*aggs).collect()  # one row per group

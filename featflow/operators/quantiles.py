@@ -18,7 +18,8 @@ with bounded memory:
      output) and retried; a bracket the sketch missed widens to min..max.
 
 Approximate mode (``relative_error > 0``) is one ``percentile_approx`` job.
-Grouped quantiles (``by``) use the ``percentile`` aggregate per group.
+Grouped quantiles (a bounded number of groups) run the same exact algorithm
+with one pseudo-column per (group, column).
 """
 
 from __future__ import annotations
@@ -151,9 +152,41 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                     for i, c in enumerate(cols)}
         return exact_quantiles(df, cols, probs)
-    aggs = [quantile_expr(c, probs, relative_error).alias(f"q{i}") for i, c in enumerate(cols)]
+    if relative_error and relative_error > 0:
+        aggs = [quantile_expr(c, probs, relative_error).alias(f"q{i}") for i, c in enumerate(cols)]
+        out = {}
+        for row in df.groupBy(by).agg(*aggs).collect():  # one row per group (few groups)
+            out[str(row[by])] = {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
+                                 for i, c in enumerate(cols)}
+        return out
+    return grouped_exact_quantiles(df, cols, probs, [by])
+
+
+MAX_GROUPS = 1000
+
+
+def grouped_exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> dict:
+    """Exact quantiles per group for a bounded number of groups (splits,
+    models, classes): every (group, column) becomes one pseudo-column of the
+    distributed algorithm. Keys: the group value (one ``by`` column) or a
+    tuple of values."""
+    by = list(by)
+    groups = [tuple(r) for r in df.select(*by).distinct().limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups: use relative_error > 0")
+    pseudo, names = [], {}
+    for gi, g in enumerate(groups):
+        cond = None
+        for b, v in zip(by, g):
+            e = F.col(b).isNull() if v is None else (F.col(b) == F.lit(v))
+            cond = e if cond is None else cond & e
+        for ci, c in enumerate(cols):
+            nm = f"_g{gi}_c{ci}"
+            pseudo.append(F.when(cond, F.col(f"`{c}`").cast("double")).alias(nm))
+            names[nm] = (g, c)
+    q = exact_quantiles(df.select(*pseudo), list(names), probs) if names else {}
     out = {}
-    for row in df.groupBy(by).agg(*aggs).collect():  # one row per group (few groups)
-        out[str(row[by])] = {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-                             for i, c in enumerate(cols)}
+    for nm, (g, c) in names.items():
+        key = str(g[0]) if len(by) == 1 else g
+        out.setdefault(key, {})[c] = q[nm]
     return out

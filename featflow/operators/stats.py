@@ -142,16 +142,25 @@ def select_cumulative(imp: DataFrame, threshold: float = 0.8, at_least: int = 10
 
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), relative_error: float = 0.0) -> DataFrame:
     """count, mean, sample sd, min, quartiles (linear interpolation), max
-    of every column - ONE scan: the columns are unpivoted to (column, x) and
-    aggregated per (group, column)."""
-    from featflow.operators.quantiles import quantile_expr
+    of every column. Moments: ONE scan over the unpivoted (column, x) rows
+    aggregated per (group, column); quartiles: the distributed exact
+    algorithm (bounded groups) or ``percentile_approx``."""
+    from featflow.operators.quantiles import grouped_exact_quantiles, quantile_expr
     by = list(by)
     long = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]) \
              .unpivot(by, list(cols), "column", "x")
     x = F.col("x")
-    q = quantile_expr("x", [0.25, 0.5, 0.75], relative_error)
-    agg = long.groupBy(*by, "column").agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                                          F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"),
-                                          F.max(x).alias("max"))
-    return agg.select(*by, "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
-                      F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    moments = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+               F.min(x).alias("min"), F.max(x).alias("max")]
+    if relative_error and relative_error > 0:
+        agg = long.groupBy(*by, "column").agg(*moments, quantile_expr("x", [0.25, 0.5, 0.75], relative_error).alias("_q"))
+        return agg.select(*by, "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
+                          F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    q = grouped_exact_quantiles(long, ["x"], [0.25, 0.5, 0.75], by + ["column"])   # bounded groups x columns
+    rows = [(*(k if isinstance(k, tuple) else (k,)), *v["x"]) for k, v in q.items()]
+    key_types = {f.name: f.dataType.simpleString() for f in long.schema.fields}
+    schema = ", ".join(f"`{b}` {key_types[b]}" for b in by + ["column"]) + ", p25 double, p50 double, p75 double"
+    qdf = df.sparkSession.createDataFrame(rows, schema)
+    agg = long.groupBy(*by, "column").agg(*moments)
+    return agg.join(F.broadcast(qdf), by + ["column"]).select(   # qdf: one row per (group, column)
+        *by, "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
