@@ -154,3 +154,23 @@ def test_exact_quantiles_distributed_matches_numpy(spark):
         for j, c in enumerate("ab"):
             exp = np.quantile(np.array([v[j] for v in vals]), ps)
             assert max(abs(g - e) for g, e in zip(got[c], exp)) == 0.0
+
+
+def test_target_encoder_table_path_equals_map_path(spark):
+    rows = [(f"k{i % 37}", (i * 7) % 3 == 0 and 1 or 0) for i in range(400)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "k string, label int")
+    new = spark.createDataFrame([("k1",), ("k36",), ("zz",), (None,)], "k string")
+    for mode in ("sigmoid", "additive"):
+        small = Target(["k"], mode=mode).fit(df)
+        big = Target(["k"], mode=mode, max_levels=5).fit(df)      # forces the written-table join path
+        assert "path" in big.fitted and "values" in small.fitted
+        assert abs(big.fitted["prior"] - small.fitted["prior"]) < 1e-12
+        a = [r.k for r in small.transform(new).collect()]
+        b = {r.k for r in big.transform(new).collect()}
+        assert {round(v, 12) for v in a} == {round(v, 12) for v in b}
+
+
+def test_onehot_refuses_unbounded_levels(spark):
+    df = spark.range(30).select(F.col("id").cast("string").alias("k"))
+    with pytest.raises(ValueError):
+        OneHot(["k"], max_levels=10).fit(df)
