@@ -119,3 +119,19 @@ def test_queries_release_their_caches(spark, sf_small):
                  "preprocess_chain"):
         E.queries()[name](spark, sf_small).collect()
         assert jsc.getPersistentRDDs().size() == before, name
+
+
+def test_fold_ensemble_flow(spark, sf_small):
+    from featflow.plans.fixtures import CATEGORICAL, NUMERIC, cases
+    from featflow.plans.flows import fold_ensemble, release
+    df = cases(spark, sf_small)
+    tr, te = df.where("split = 'train'").drop("split"), df.where("split = 'test'").drop("split", "label")
+    res = fold_ensemble(tr, te, "case_id", "label", CATEGORICAL, NUMERIC, k=3, max_iter=5, max_depth=3, tops=(2,))
+    assert set(res["fold_auc"]) == {0, 1, 2} and res["oof_auc"] > 0.6
+    n_test = te.count()
+    for name, ens in res["ensembles"].items():
+        assert ens.count() == n_test, name
+    lab = df.select("case_id", "label")
+    top = res["ensembles"]["top2"].join(lab, "case_id")
+    assert auc(top).first()["auc"] > 0.6
+    release(res)
