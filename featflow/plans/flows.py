@@ -71,3 +71,48 @@ def fold_ensemble(train: DataFrame, test: DataFrame, key: str, label: str, categ
 def release(result: dict) -> None:
     for df in result.get("_cached", []):
         df.unpersist()
+
+
+def two_model_blend(train: DataFrame, test: DataFrame, key: str, label: str, categorical: Sequence[str],
+                    numeric: Sequence[str], k: int = 5, seed: int = 42, ratio: float = 0.5,
+                    makers: dict | None = None) -> dict:
+    """SURVEY §3.2: E7 chain fitted on train -> stratified folds -> majority
+    undersampled INSIDE each fold's training rows -> two models per fold ->
+    OOF scores and test means -> blend weights from the simplex AUC search,
+    per fold and over all OOF rows -> blended test scores + importances."""
+    from featflow.plans.chain import fit_chain
+    makers = makers or {"gbt": lambda: M.gbt(max_iter=30, max_depth=5, seed=seed, label=label),
+                        "rf": lambda: M.forest(num_trees=50, max_depth=8, seed=seed, label=label)}
+    chain = fit_chain(train, categorical, numeric)
+    inter = chain.stages[-1].output_columns()
+    feats = list(categorical) + list(numeric) + inter
+    tr = cached(S.stratified_folds(M.assemble(chain.transform(train), feats), key, label, k=k, seed=seed, name="fold"))
+    te = cached(M.assemble(chain.transform(test), feats))
+    oof_parts, test_parts, importances = [], [], {}
+    for f in range(k):
+        fit_rows = S.undersample(tr.where(F.col("fold") != f), key, label, ratio=ratio, seed=seed)
+        hold = tr.where(F.col("fold") == f)
+        for name, make in makers.items():
+            m = make().fit(fit_rows)
+            importances.setdefault(name, []).append(dict(M.importances(m, feats)))
+            oof_parts.append(M.positive_probability(m.transform(hold)).select(
+                key, F.lit(f).alias("fold"), F.lit(name).alias("model"), F.col("probability_1").alias("score"), label))
+            test_parts.append(M.positive_probability(m.transform(te)).select(
+                key, F.lit(f).alias("fold"), F.lit(name).alias("model"), F.col("probability_1").alias("score")))
+    oof, tst = oof_parts[0], test_parts[0]
+    for a in oof_parts[1:]:
+        oof = oof.unionByName(a)
+    for b in test_parts[1:]:
+        tst = tst.unionByName(b)
+    oof, tst = cached(oof), cached(tst)
+    members = list(makers)
+    wide = cached(oof.groupBy(key, "fold", label).pivot("model", members).agg(F.first("score")))
+    glob = N.blend_search(wide, members, label=label)
+    per_fold = {f: N.blend_search(wide.where(F.col("fold") == f), members, label=label)["weights"] for f in range(k)}
+    test_mean = tst.groupBy(key).pivot("model", members).agg(F.avg("score"))      # mean over fold models
+    blended = test_mean.select(key, sum((F.col(m) * w for m, w in zip(members, glob["weights"])), F.lit(0.0))
+                               .alias("probability"))
+    imp = {name: {f: sum(d[f] for d in ds) / len(ds) for f in feats} for name, ds in importances.items()}
+    return {"features": feats, "oof": oof, "global_weights": glob["weights"], "global_auc": glob["auc"],
+            "fold_weights": per_fold, "submission": blended, "importances": imp,
+            "_cached": [tr, te, oof, tst, wide]}

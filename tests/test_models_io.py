@@ -135,3 +135,19 @@ def test_fold_ensemble_flow(spark, sf_small):
     top = res["ensembles"]["top2"].join(lab, "case_id")
     assert auc(top).first()["auc"] > 0.6
     release(res)
+
+
+def test_two_model_blend_flow(spark, sf_small):
+    from featflow.plans.fixtures import CATEGORICAL, NUMERIC, cases
+    from featflow.plans.flows import release, two_model_blend
+    df = cases(spark, sf_small)
+    tr, te = df.where("split = 'train'"), df.where("split = 'test'").drop("label")
+    makers = {"gbt": lambda: M.gbt(max_iter=5, max_depth=3), "rf": lambda: M.forest(num_trees=8, max_depth=5)}
+    res = two_model_blend(tr, te, "case_id", "label", CATEGORICAL, NUMERIC, k=3, makers=makers)
+    assert abs(sum(res["global_weights"]) - 1) < 1e-12 and res["global_auc"] > 0.6
+    assert len(res["fold_weights"]) == 3
+    sub = res["submission"]
+    assert sub.count() == te.count()
+    assert auc(sub.join(df.select("case_id", "label"), "case_id"), score="probability").first()["auc"] > 0.6
+    assert abs(sum(res["importances"]["rf"].values()) - 1) < 1e-9
+    release(res)
