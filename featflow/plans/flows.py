@@ -116,3 +116,55 @@ def two_model_blend(train: DataFrame, test: DataFrame, key: str, label: str, cat
     return {"features": feats, "oof": oof, "global_weights": glob["weights"], "global_auc": glob["auc"],
             "fold_weights": per_fold, "submission": blended, "importances": imp,
             "_cached": [tr, te, oof, tst, wide]}
+
+
+def stacked_search(train: DataFrame, test: DataFrame, key: str, label: str, categorical: Sequence[str],
+                   numeric: Sequence[str], weights: dict | None = None, ratio: float = 0.5, k: int = 3,
+                   n_iter: int = 3, seed: int = 42, makers: dict | None = None) -> dict:
+    """SURVEY §3.3: fixed-procedure weights -> undersampling BEFORE the split
+    (kept as in the source; it inflates the hold-out AUC) -> stratified 20 %
+    hold-out -> k-fold OOF base scores -> robust-scaled logistic meta model
+    whose C is chosen by a seeded random search on the hold-out -> hold-out
+    AUC and submission scores."""
+    from pyspark.ml import Pipeline
+
+    from featflow.operators.scale import Robust
+    from featflow.operators.weights import weight_fixed
+    from featflow.plans.training import holdout_search, oof_scores
+    makers = makers or {"gbt": lambda: M.gbt(max_iter=20, max_depth=4, seed=seed, label=label),
+                        "rf": lambda: M.forest(num_trees=30, max_depth=8, seed=seed, label=label)}
+    if weights:
+        train, test = weight_fixed(train, weights), weight_fixed(test, weights)
+    balanced = S.undersample(train, key, label, ratio=ratio, seed=seed)
+    parts = S.stratified_holdout(balanced, key, label, 0.2, seed=seed)
+    prep = Pipeline(stages=[Impute(list(categorical), strategy="label", value="Unknown"),
+                            Impute(list(numeric), strategy="mean"), Ordinal(list(categorical), unknown=-1)])
+    feats = list(categorical) + list(numeric)
+    fit_rows = parts.where(F.col("part") == "fit")
+    model = prep.fit(fit_rows)
+    fr = cached(S.stratified_folds(M.assemble(model.transform(fit_rows), feats), key, label, k=k, seed=seed))
+    hold = cached(M.assemble(model.transform(parts.where(F.col("part") == "holdout")), feats))
+    te = M.assemble(model.transform(test), feats)
+    members = list(makers)
+    oof, _ = oof_scores(fr, key, "fold", makers, label)
+    full = {name: make().fit(fr) for name, make in makers.items()}      # bases refit on all fitting rows
+
+    def base_scores(df):
+        out = df.select(key, *([label] if label in df.columns else []))
+        for name, m in full.items():
+            out = out.join(M.positive_probability(m.transform(df)).select(key, F.col("probability_1").alias(name)), key)
+        return out
+
+    wide = cached(oof.groupBy(key, label).pivot("model", members).agg(F.first("score")))
+    scaler = Robust(members).fit(wide)
+    meta_train = M.assemble(scaler.transform(wide), members)
+    meta_hold = M.assemble(scaler.transform(base_scores(hold)), members)
+    n = meta_train.count()
+    grid = [{"C": c} for c in (0.01, 0.1, 1.0, 10.0, 100.0)]
+    best, hold_auc, results = holdout_search(meta_train, meta_hold, lambda C: M.logistic(C=C, n_rows=n), grid,
+                                             n_iter=n_iter, label=label, seed=seed)
+    meta = M.logistic(C=best["C"], n_rows=n).fit(meta_train)
+    sub = M.positive_probability(meta.transform(M.assemble(scaler.transform(base_scores(te)), members))) \
+        .select(key, F.col("probability_1").alias("probability"))
+    return {"best_params": best, "holdout_auc": hold_auc, "search": results, "submission": sub,
+            "_cached": [fr, hold, wide]}

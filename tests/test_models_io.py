@@ -151,3 +151,18 @@ def test_two_model_blend_flow(spark, sf_small):
     assert auc(sub.join(df.select("case_id", "label"), "case_id"), score="probability").first()["auc"] > 0.6
     assert abs(sum(res["importances"]["rf"].values()) - 1) < 1e-9
     release(res)
+
+
+def test_stacked_search_flow(spark, sf_small):
+    from featflow.plans.fixtures import CATEGORICAL, NUMERIC, cases
+    from featflow.plans.flows import release, stacked_search
+    df = cases(spark, sf_small)
+    tr, te = df.where("split = 'train'"), df.where("split = 'test'").drop("label")
+    makers = {"gbt": lambda: M.gbt(max_iter=5, max_depth=3), "rf": lambda: M.forest(num_trees=8, max_depth=5)}
+    res = stacked_search(tr, te, "case_id", "label", CATEGORICAL, NUMERIC, weights={"totalprice": 2.0},
+                         makers=makers, n_iter=2)
+    assert res["holdout_auc"] > 0.6 and len(res["search"]) == 2
+    sub = res["submission"]
+    assert sub.count() == te.count()
+    assert auc(sub.join(df.select("case_id", "label"), "case_id"), score="probability").first()["auc"] > 0.6
+    release(res)
