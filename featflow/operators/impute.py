@@ -67,7 +67,11 @@ class Impute(StatEstimator):
             return {"values": {c: v[0] for c, v in q.items()}}
         aggs = [_stat(c, st, conf["relative_error"]).alias(f"s{i}") for i, c in enumerate(cols)]
         if conf.get("by"):
-            rows = df.groupBy(conf["by"]).agg(*aggs).collect()  # one row per group
+            from featflow.operators.quantiles import MAX_GROUPS
+            # one row per group; the statistics become a literal map, so the groups must be few
+            rows = df.groupBy(conf["by"]).agg(*aggs).limit(MAX_GROUPS + 1).collect()
+            if len(rows) > MAX_GROUPS:
+                raise ValueError(f"Impute(by=...) supports at most {MAX_GROUPS} groups")
             return {"by_group": {str(r[conf["by"]]): {c: r[f"s{i}"] for i, c in enumerate(cols)}
                                  for r in rows}}
         row = df.agg(*aggs).first()
