@@ -81,11 +81,17 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                                     for ti, key in enumerate(keys)], "ti int, ci int, lo double, hi double")
         j = long.join(F.broadcast(tt), "ci")             # targets table: cols x probs rows
         inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
-        per_value = (j.where(inside).groupBy("ti", "x").agg(F.count(F.lit(1)).alias("cnt")))
-        below = {r["ti"]: r["b"] for r in j.groupBy("ti").agg(
-            F.sum((F.col("x") < F.col("lo")).cast("long")).alias("b")).collect()}
-        stats = {r["ti"]: r for r in per_value.groupBy("ti").agg(
-            F.sum("cnt").alias("n_in"), F.count(F.lit(1)).alias("nd")).collect()}
+        # one record per (target, distinct in-bracket value), plus one "below" record per target
+        side = F.when(F.col("x") < F.col("lo"), F.lit(-1)).when(inside, F.lit(0)).otherwise(F.lit(1))
+        grouped = (j.select("ti", side.alias("side"), F.when(inside, F.col("x")).alias("x"))
+                    .groupBy("ti", "side", "x").agg(F.count(F.lit(1)).alias("cnt")))
+        per_value = grouped.where(F.col("side") == 0).select("ti", "x", "cnt")
+        stat_rows = grouped.groupBy("ti").agg(                                   # ONE job: <= targets rows
+            F.sum(F.when(F.col("side") == -1, F.col("cnt"))).alias("b"),
+            F.sum(F.when(F.col("side") == 0, F.col("cnt"))).alias("n_in"),
+            F.sum((F.col("side") == 0).cast("long")).alias("nd")).collect()
+        below = {r["ti"]: r["b"] for r in stat_rows}
+        stats = {r["ti"]: r for r in stat_rows if r["n_in"]}
         small, wide, retry = [], [], {}
         for ti, key in enumerate(keys):
             t = targets[key]
