@@ -38,3 +38,30 @@ def test_rowwise_weights_rules_and_broadcast(spark):
     assert got == {"A": (2.0, 0.0), "IUI": (3.0, 3.0), "Z": (5.0, 0.0)}
     assert t.unmatched(df.columns) == ["absent"]
     assert "BroadcastHashJoin" in _plan(out)
+
+
+def test_jobs_per_fit(spark, sf_small):
+    """BASELINE target: one aggregate per statistic-based fit; Yeo-Johnson and
+    exact quantiles at most three passes. AQE runs each shuffled aggregate
+    as a map-stage job plus a result job, hence 2 jobs per pass."""
+    from featflow.operators.encode import Ordinal, Target
+    from featflow.operators.impute import ClassMeanImpute, Impute
+    from featflow.operators.scale import Fence, MinMax, Robust, Standard, YeoJohnson
+    from featflow.plans.fixtures import CATEGORICAL, NUMERIC, cases
+    df = cases(spark, sf_small).cache()
+    df.count()
+    sc = spark.sparkContext
+    limits = {"minmax": (MinMax(NUMERIC), 2), "standard": (Standard(NUMERIC), 2), "ordinal": (Ordinal(CATEGORICAL), 2),
+              "target": (Target(CATEGORICAL), 2), "mean": (Impute(NUMERIC), 2), "classmean": (ClassMeanImpute(NUMERIC), 2),
+              "robust_approx": (Robust(NUMERIC, relative_error=0.001), 2),
+              "yeojohnson": (YeoJohnson(NUMERIC), 6), "robust_exact": (Robust(NUMERIC), 9),
+              "fence_exact": (Fence(NUMERIC, 0.01, 0.99), 9)}
+    try:
+        for name, (est, limit) in limits.items():
+            sc.setJobGroup(f"fit-{name}", name)
+            est.fit(df)
+            n = len(sc.statusTracker().getJobIdsForGroup(f"fit-{name}"))
+            assert 1 <= n <= limit, (name, n)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        df.unpersist()
