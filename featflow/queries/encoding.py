@@ -62,20 +62,21 @@ LEFT JOIN (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SE
 def encode_label_inverse(spark, sf_dir):
     """D3: label codes refitted on each split separately (as one script does),
     decoded back with the fitted map, and the codes of one global fit."""
-    df = cases(spark, sf_dir)
+    df = cases(spark, sf_dir).select(KEY, SPLIT, "segment", "count_str")
+    glob = Ordinal(["segment"], unknown=None).fit(df)
     parts = []
     for s in ("train", "test"):
         rows = df.where(F.col(SPLIT) == s)
-        m = Ordinal(_D3, unknown=None).fit(rows)
-        coded = m.transform(rows).select(KEY, SPLIT, F.col("segment").alias("segment_code"),
-                                         F.col("count_str").alias("count_code"), "segment", "count_str")
-        back = m.inverse(coded.select(KEY, SPLIT, "segment_code", "count_code",
-                                      F.col("segment_code").alias("segment"), F.col("count_code").alias("count_str")))
+        own = Ordinal(_D3, unknown=None).fit(rows)
+        coded = own.transform(rows).select(KEY, SPLIT, F.col("segment").alias("segment_code"),
+                                           F.col("count_str").alias("count_code"))
+        back = own.inverse(coded.withColumn("segment", F.col("segment_code"))
+                                .withColumn("count_str", F.col("count_code")))
         parts.append(back.withColumnRenamed("segment", "segment_back").withColumnRenamed("count_str", "count_back"))
-    own = parts[0].unionByName(parts[1])
-    glob = Ordinal(["segment"], unknown=None).fit(df).transform(df.select(KEY, "segment")) \
+    both = parts[0].unionByName(parts[1])
+    # the global code is a literal-map lookup of the decoded level: no join back
+    return glob.transform(both.withColumn("segment", F.col("segment_back"))) \
         .withColumnRenamed("segment", "segment_global")
-    return own.join(glob, KEY)
 
 
 _D4 = ["priority", "count_str", "band"]
