@@ -3,7 +3,7 @@ featflow.plans.fixtures, written independently in SQL)."""
 
 CASES_CTES = """
 li AS (
-  SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty, avg(l_discount) AS disc
+  SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty, floor(avg(l_discount) * 1e6 + 0.5) / 1e6 AS disc
   FROM lineitem GROUP BY l_orderkey
 ),
 cases AS (

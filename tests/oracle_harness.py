@@ -99,7 +99,8 @@ def _eq(x, y):
 if __name__ == "__main__":
     sys.path.insert(0, ".")
     from featflow.session import build_session
-    sf = "/root/testdata/sf0.01"
+    import os
+    sf = os.environ.get("ORACLE_SF", "/root/testdata/sf0.01")
     names = sys.argv[1:]
     if names and names[0] == "--strict":
         STRICT = True
