@@ -167,7 +167,7 @@ class Page:
             open_tags[tag] = open_tags.get(tag, 0) + 1
             links = open_tags.get("a", 0)
             if tag in CONTAINERS and not dropped:
-                path = f"{path}>{tag}.{label}" if label else f"{path}>{tag}"
+                path = f"{path}>{tag}.{label}" if label and tag != "body" else f"{path}>{tag}"     # a body's classes name the page
                 self.paths.append(path)
                 self.parents.append(owner)
                 self.scores.append(0.0)
@@ -204,13 +204,13 @@ def extract(source: str, winner: str | None) -> str:
 
 def _best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [Page(h).best() if h else "" for h in map(pa.Scalar.as_py, batch.column("html"))]
+        paths = [Page(h).best() if h else "" for h in (x.as_py() for x in batch.column("html"))]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(h, w) if h else "" for h, w in zip(map(pa.Scalar.as_py, batch.column("html")), batch.column("path").to_pylist())]
+        texts = [extract(h, w) if h else "" for h, w in zip((x.as_py() for x in batch.column("html")), batch.column("path").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
                                          names=["page_id", "url", "text"])
 
