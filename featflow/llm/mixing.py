@@ -11,8 +11,9 @@ A document is then emitted floor(target / source size) times, plus once more
 with a probability equal to the fraction: a Bernoulli draw from the MD5 of the
 seed and the id, so reruns, retries and other engines draw alike.
 
-The table of sources has one row for each source; it is joined back with a
-join Spark may split, so a source of any share of the rows is not one task.
+The table of sources has one row for each source and is written once. It is
+broadcast only if counted below ``BROADCAST_SOURCES`` rows; beyond that Spark
+joins it, and may split a source that holds a large share of the rows.
 
 Edge cases: a null or wordless text has size 0 and is emitted like any other;
 sources with no words have target 0 and rate 0, their documents are not
@@ -28,8 +29,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featflow.llm.store import written
+
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
+BROADCAST_SOURCES = 100_000
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -70,7 +74,9 @@ def bernoulli(key: Column, seed: str) -> Column:
 def _taken(own: DataFrame, seed: str, weights: Sequence[int], share: float, most: int) -> DataFrame:
     """``own`` (key, source, size, ...) with source_size, target and copies."""
     targets = source_targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    targets = targets.select(F.col("source").alias("t_source"), "source_size", "target")
+    targets, _ = written(targets.select(F.col("source").alias("t_source"), "source_size", "target"), "targets")
+    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor("rate") + (bernoulli(F.col("key"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return (own.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("rate", rate)
