@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 CACHE_LIMIT = 800_000
 _WHITE_PAIR = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_END_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?= )")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
@@ -68,9 +69,23 @@ class Encoder:
             return self.word(word, space)
         return (self.table[word] if space else self.word(word, False)) + self.marks[end]
 
+    @staticmethod
+    def _even(text: str) -> str:
+        """A text with the same ids and fewer distinct pieces, for a
+        tokenizer that lower-cases and drops white space: Latin-1 letters in
+        lower case, a space before a mark that ends a word. (Beyond Latin-1,
+        lower case can depend on the neighbours; such texts stay.)"""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return _END_MARK.sub(r" \1", text.lower())
+
     def bytes_of(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.lowering:
+            text = self._even(text)
         pieces = _SAFE_SPACE.split(text) if _WHITE_PAIR.search(text) or text[0].isspace() or text[-1].isspace() else text.split(" ")
         head = self.piece(pieces[0], False)
         return head + b"".join(map(self.table.__getitem__, pieces[1:]))
