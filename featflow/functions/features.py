@@ -6,7 +6,10 @@ number of features in ONE ``select`` instead of a ``withColumn`` loop.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,28 +70,26 @@ def weighted_sum(cols_weights: Sequence[tuple[object, float]]) -> Column:
     return out
 
 
-def named_pairs(columns: Sequence[str], wanted: Sequence[str],
-                suffix: str = "interaction") -> list[tuple[str, Column]]:
-    """Products of every pair of the ``wanted`` features that exist, in
-    ``wanted`` order: ``{a}_{b}_{suffix}``."""
-    present = [w for w in wanted if w in columns]
-    out = []
-    for i, a in enumerate(present):
-        for b in present[i + 1:]:
-            out.append((f"{a}_{b}_{suffix}", F.col(a) * F.col(b)))
-    return out
+def cross_products(columns: Sequence[str], suffix: str,
+                   last: tuple[int, int] | None = None) -> list[tuple[str, Column]]:
+    """Named products of unordered column pairs, in column order. ``last``
+    bounds the positions of the first and the second member of a pair."""
+    limit = last or (len(columns), len(columns))
+    chosen = (pair for pair in combinations(enumerate(columns), 2)
+              if all(position < bound for (position, _), bound in zip(pair, limit)))
+    return [(f"{a}_{b}_{suffix}", F.col(a) * F.col(b)) for (_, a), (_, b) in chosen]
+
+
+def named_pairs(columns: Sequence[str], wanted: Sequence[str], suffix: str = "interaction") -> list[tuple[str, Column]]:
+    """Products of all pairs of the ``wanted`` features that exist, in ``wanted`` order."""
+    return cross_products(sorted(set(wanted) & set(columns), key=list(wanted).index), suffix)
 
 
 def positional_pairs(columns: Sequence[str], first: int = 10, second: int = 11,
                      suffix: str = "interact") -> list[tuple[str, Column]]:
-    """Products by position: i < min(first, n), i < j < min(second, n)."""
-    n = len(columns)
-    out = []
-    for i in range(min(first, n)):
-        for j in range(i + 1, min(second, n)):
-            a, b = columns[i], columns[j]
-            out.append((f"{a}_{b}_{suffix}", F.col(a) * F.col(b)))
-    return out
+    """Products by position: the first member among the first ``first``
+    columns, the second among the first ``second``."""
+    return cross_products(columns, suffix, last=(first, second))
 
 
 def risk_index(c, knee1: float = 35.0, slope1: float = 1.5, knee2: float = 40.0,
@@ -123,11 +124,23 @@ LEAKY_EXACT = "난자 해동 경과일"
 LEAKY_BOTH = ("해동", "경과")
 
 
-def leaky_columns(columns: Sequence[str], keywords: Sequence[str] = LEAKY_KEYWORDS,
-                  exact: str = LEAKY_EXACT, both: tuple[str, str] = LEAKY_BOTH) -> list[str]:
-    out = []
-    for c in columns:
-        low = c.lower()
-        if any(k in low for k in keywords) or c == exact or (both[0] in c and both[1] in c):
-            out.append(c)
-    return out
+class NameRule(NamedTuple):
+    """A rule on column names: a regular expression and its flags."""
+    pattern: str
+    flags: int = 0
+
+    def matches(self, name: str) -> bool:
+        return re.search(self.pattern, name, self.flags) is not None
+
+
+def any_of(words: Sequence[str]) -> str:
+    return "|".join(map(re.escape, words))
+
+
+LEAKY_RULES = (NameRule(any_of(LEAKY_KEYWORDS), re.IGNORECASE), NameRule(rf"\A{re.escape(LEAKY_EXACT)}\Z"),
+               NameRule("".join(f"(?=.*{re.escape(part)})" for part in LEAKY_BOTH)))
+
+
+def leaky_columns(columns: Sequence[str], rules: Sequence[NameRule] = LEAKY_RULES) -> list[str]:
+    """Columns whose name meets any of the rules."""
+    return [name for name in columns if any(map(lambda rule: rule.matches(name), rules))]

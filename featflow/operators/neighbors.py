@@ -46,18 +46,12 @@ def sqdist(a: Column, b: Column, dim: int | None = None) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def vector_dim(df: DataFrame, vec_col: str) -> int | None:
-    """Dimension of a fixed-length vector column (one row read), or None if it varies."""
-    r = df.select(F.min(F.size(vec_col)).alias("lo"), F.max(F.size(vec_col)).alias("hi")).first()
-    return int(r["lo"]) if r["lo"] is not None and r["lo"] == r["hi"] and r["lo"] > 0 else None
-
-
 def _as_double_array(c: str) -> Column:
     return F.col(c).cast("array<double>")
 
 
 def knn(points: DataFrame, id_col: str, vec_col: str, k: int, queries: DataFrame | None = None,
-        n_pivots: int = 16, seed: int = 42, bands_per_cell: int = 16, max_rounds: int = 40) -> DataFrame:
+        n_pivots: int = 16, seed: int = 42, bands_per_cell: int = 16) -> DataFrame:
     """(qid, nn_id, nn_rank 1..k, sqdist) - exact k nearest ``points`` of every
     query (default: the points themselves, excluding the same id); ties by id."""
     spark = points.sparkSession
@@ -89,9 +83,10 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, queries: DataFrame
     q_far = qs.agg(F.max(F.array_max("qpd")).alias("m")).first()["m"] or 0.0
     # start near the typical point-to-pivot distance (in high dimension the
     # neighbour distances are of that order); doubling keeps it exact anyway
-    radius = max(w, mean_dc)
+    # a radius from a fixed share of the largest distance on reaches all points in a few doublings
+    radius = max(w, mean_dc, q_far / bands_per_cell)
     results = []
-    for _ in range(max_rounds):
+    while True:
         # bands to probe per cell; a cell is skipped when it cannot hold a point within the radius
         probes = []
         for c, R in stats.items():
@@ -129,10 +124,13 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, k: int = 5, seed
     (h1(j) mod k) + 1 among the base's k nearest minority rows, and gap
     h2(j) / 2^32 in [0, 1): new = x + gap * (x_nn - x).
     Output (syn_id, base_id, nn_id, gap, label, vector)."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     minority = min(counts, key=lambda c: (counts[c], c))
     n_min, n_maj = counts[minority], max(counts.values())
     n_new = n_maj - n_min
+    k = min(k, n_min - 1)        # a class of n rows has n - 1 neighbours
+    if k < 1 and n_new:
+        raise ValueError(f"the minority class has {n_min} row(s): no neighbour to interpolate with")
     spark = df.sparkSession
     mino = df.where(F.col(label) == minority).select(F.col(id_col).alias("id"), _as_double_array(vec_col).alias("v"))
     ranked = hash_rank(mino, "id", seed=seed, name="r")
@@ -162,18 +160,6 @@ def mutual_pairs(df: DataFrame, id_col: str, vec_col: str, label: str, seed: int
                     F.col("nl").alias("label_b"), (F.col("ql") != F.col("nl")).alias("is_link"))
 
 
-def tomek_links(df: DataFrame, id_col: str, vec_col: str, label: str, seed: int = 42) -> DataFrame:
-    """I4: pairs (a < b) of opposite class that are each other's nearest
-    neighbour (exact 1-NN)."""
-    nn1 = knn(df, id_col, vec_col, 1, seed=seed).select("qid", "nn_id")
-    lab = df.select(F.col(id_col).alias("qid"), F.col(label).alias("ql"))
-    a = nn1.join(lab, "qid")
-    b = a.select(F.col("qid").alias("nn_id"), F.col("nn_id").alias("qid"), F.col("ql").alias("nl"))
-    m = a.join(b, ["qid", "nn_id"]).where((F.col("ql") != F.col("nl")) & (F.col("qid") < F.col("nn_id")))
-    return m.select(F.col("qid").alias("id_a"), F.col("nn_id").alias("id_b"), F.col("ql").alias("label_a"),
-                    F.col("nl").alias("label_b"))
-
-
 def remove_links(df: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     """Drop both members of every Tomek link (anti-join)."""
     ids = links.select(F.col("id_a").alias(id_col)).unionByName(links.select(F.col("id_b").alias(id_col)))

@@ -25,6 +25,14 @@ def seeded_hash(key, seed: int | str = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), col_of(key).cast("string")))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where a null key equals a null key, so rows of
+    the null group stay."""
+    other = right.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{i}")) for i, k in enumerate(keys)]
+    return left.join(other, same).drop(*[f"_r_{i}" for i in range(len(keys))])
+
+
 def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int | str = 42,
               name: str = "rank", prefix_len: int = 4) -> DataFrame:
     """Add ``name`` = 1-based row_number() within ``by`` ordered by the seeded
@@ -38,7 +46,7 @@ def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int | str =
     counts = d.groupBy(*by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    d = d.join(offsets, [*by, "_bkt"])
+    d = join_null_safe(d, offsets, [*by, "_bkt"])
     w2 = Window.partitionBy(*by, "_bkt").orderBy("_h", key)
     return (d.withColumn(name, (F.row_number().over(w2) + F.col("_off")).cast("bigint"))
              .drop("_h", "_bkt", "_off"))
@@ -73,7 +81,7 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, values: Sequence[s
     wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")
                                      for v in values])
-    d = d.join(offs, [*by, "_bkt"])
+    d = join_null_safe(d, offs, [*by, "_bkt"])
     hi = 0 if inclusive else -1
     wl = Window.partitionBy(*by, "_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, hi)
     cols = [(F.coalesce(F.sum(v).over(wl), F.lit(0)) + F.col(f"_o_{v}")).alias(f"{v}{suffix}") for v in values]

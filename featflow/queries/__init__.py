@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
-MODULES = ["sources_sinks", "cleaning", "imputation", "encoding", "scaling", "weighting",
+MODULES = ["cleaning", "imputation", "encoding", "scaling", "weighting",
            "profiling", "sampling", "modeling", "ensembles", "evaluation"]
 
 
@@ -28,11 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load() -> None:
     for m in MODULES:
-        try:
-            importlib.import_module(f"featflow.queries.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"featflow.queries.{m}":
-                raise
+        importlib.import_module(f"featflow.queries.{m}")
 
 
 def all_queries() -> dict[str, Callable]:

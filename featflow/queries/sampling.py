@@ -99,11 +99,11 @@ SMOTE_CTES = [
     "pr AS (SELECT min(n) AS n_min, max(n) AS n_maj FROM cnt)",
     "mino AS (SELECT e.vec_id AS id, e.v FROM e JOIN mi USING (y))",
     "rk AS (SELECT id, v, row_number() OVER (ORDER BY md5(concat_ws('|', '42', id)), id) AS r FROM mino)",
-    f"nn AS (SELECT * FROM (SELECT a.id AS qid, b.id AS nn_id, row_number() OVER (PARTITION BY a.id ORDER BY {_sq('a.v', 'b.v')}, b.id) AS nn_rank "
+    f"nn AS MATERIALIZED (SELECT * FROM (SELECT a.id AS qid, b.id AS nn_id, row_number() OVER (PARTITION BY a.id ORDER BY {_sq('a.v', 'b.v')}, b.id) AS nn_rank "
     "FROM mino a, mino b WHERE a.id <> b.id) WHERE nn_rank <= 5)",
     "sy AS (SELECT j, (j % n_min) + 1 AS r, CAST(CAST('0x' || substr(md5('42|' || j || '|nn'), 1, 8) AS BIGINT) % 5 + 1 AS INTEGER) AS nn_rank, "
     "CAST('0x' || substr(md5('42|' || j || '|gap'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS gap FROM pr, range(0, n_maj - n_min) t(j))",
-    "syn AS (SELECT sy.j AS syn_id, rk.id AS base_id, nn.nn_id, sy.gap, list_transform(list_zip(rk.v, m2.v), lambda z: z[1] + sy.gap * (z[2] - z[1])) AS vector "
+    "syn AS MATERIALIZED (SELECT sy.j AS syn_id, rk.id AS base_id, nn.nn_id, sy.gap, list_transform(list_zip(rk.v, m2.v), lambda z: z[1] + sy.gap * (z[2] - z[1])) AS vector "
     "FROM sy JOIN rk USING (r) JOIN nn ON nn.qid = rk.id AND nn.nn_rank = sy.nn_rank JOIN mino m2 ON m2.id = nn.nn_id)",
 ]
 
@@ -118,9 +118,9 @@ def smote(spark, sf_dir):
 
 
 @query("tomek_links", "WITH " + ",\n".join(SMOTE_CTES + [
-    "res AS (SELECT vec_id AS id, v, y FROM e UNION ALL SELECT -(syn_id + 1), vector, 1 FROM syn)",
-    f"n1 AS (SELECT * FROM (SELECT a.id AS qid, b.id AS nn_id, a.y AS ql, row_number() OVER (PARTITION BY a.id ORDER BY {_sq('a.v', 'b.v')}, b.id) AS rk "
-    "FROM res a, res b WHERE a.id <> b.id) WHERE rk = 1)"]) + """
+    "res AS MATERIALIZED (SELECT vec_id AS id, v, y FROM e UNION ALL SELECT -(syn_id + 1), vector, 1 FROM syn)",
+    f"n1 AS MATERIALIZED (SELECT a.id AS qid, arg_min(b.id, ROW({_sq('a.v', 'b.v')}, b.id)) AS nn_id, any_value(a.y) AS ql "
+    "FROM res a, res b WHERE a.id <> b.id GROUP BY a.id)"]) + """
 SELECT a.qid AS id_a, a.nn_id AS id_b, a.ql AS label_a, b.ql AS label_b, a.ql <> b.ql AS is_link
 FROM n1 a JOIN n1 b ON a.nn_id = b.qid AND b.nn_id = a.qid WHERE a.qid < a.nn_id""")
 def tomek_links(spark, sf_dir):
