@@ -103,13 +103,14 @@ def target_corr(df: DataFrame, cols: Sequence[str], label: str = "label", fill:
 
 
 def leak_screen(df: DataFrame, cols: Sequence[str], label: str = "label", threshold: float = 0.7,
-                top: int = 10) -> DataFrame:
+                top: int | None = 10) -> DataFrame:
     """features whose correlation (NULL -> 0) with the target exceeds
-    ``threshold`` in absolute value, strongest first, at most ``top``;
-    all-NULL columns are skipped."""
+    ``threshold`` in absolute value, strongest first: the first ``top`` as a
+    report, or with None all of them; all-NULL columns are skipped."""
     tc = target_corr(df, cols, label).where((F.col("n_present") > 0) & (F.abs("corr") > threshold))
     w = Window.orderBy(F.abs("corr").desc(), F.col("feature"))   # over <= len(cols) rows
-    return tc.select("feature", "corr", F.row_number().over(w).cast("int").alias("rank")).where(F.col("rank") <= top)
+    ranked = tc.select("feature", "corr", F.row_number().over(w).cast("int").alias("rank"))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def importance(df: DataFrame, cols: Sequence[str], label: str = "label") -> DataFrame:

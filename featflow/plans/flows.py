@@ -29,7 +29,7 @@ def fold_ensemble(train: DataFrame, test: DataFrame, key: str, label: str, categ
                   numeric: Sequence[str], k: int = 7, seed: int = 42, max_iter: int = 50, max_depth: int = 5,
                   tops: Sequence[int] = (3, 5)) -> dict:
     # 1. leakage screens: strongly target-correlated numerics and leak-named columns are dropped
-    suspects = [r["feature"] for r in leak_screen(train, list(numeric), label).collect()]
+    suspects = [r["feature"] for r in leak_screen(train, list(numeric), label, top=None).collect()]
     dropped = sorted(set(suspects) | set(leaky_columns([c for c in train.columns if c not in (key, label)])))
     cat = [c for c in categorical if c not in dropped]
     num = [c for c in numeric if c not in dropped]

@@ -56,3 +56,18 @@ def test_auc_keeps_the_null_group(spark):
     rows = [(g, float(i % 7), i % 2) for g in ("a", None) for i in range(40)]
     df = spark.createDataFrame(rows, "g string, score double, label int")
     assert {r["g"]: r["n_pos"] for r in auc(df, by=["g"]).collect()} == {"a": 20, None: 20}
+
+
+def test_every_suspect_is_screened(spark):
+    from featflow.operators.stats import leak_screen
+    df = spark.range(50).select((F.col("id") % 2).cast("int").alias("label"), *[((F.col("id") % 2) * (i + 1) + 0.0).alias(f"x{i}") for i in range(11)])
+    cols = [f"x{i}" for i in range(11)]
+    assert leak_screen(df, cols).count() == 10 and leak_screen(df, cols, top=None).count() == 11
+
+
+def test_yeo_johnson_ignores_nan(spark):
+    from featflow.operators.scale import YeoJohnson
+    rows = [(float(i) ** 1.5,) for i in range(60)]
+    clean, dirty = (YeoJohnson(["x"]).fit(spark.createDataFrame(r, "x double")) for r in (rows, rows + [(float("nan"),)]))
+    a, b = (m.transform(spark.createDataFrame(rows, "x double")).collect() for m in (clean, dirty))
+    assert all(abs(p.x - q.x) < 1e-9 for p, q in zip(sorted(a), sorted(b)))
