@@ -2,20 +2,24 @@
 
 Fitting collects the level table of all columns in ONE job: the columns are
 unpivoted to (column, value) and aggregated (map-side partial aggregation,
-then a shuffle of distinct levels only). If the table is small (bounded by
-``max_levels``) it travels as a literal map inside the projection - no join
-at all. A larger level table is written to the shared checkpoint folder and
-joined per column; AQE turns each join into a broadcast only when the
-runtime size allows it, otherwise it stays a sort-merge join.
+then a shuffle of distinct levels only). A level table of at most
+``max_levels`` rows travels with the model: columns of up to
+``LITERAL_LEVELS`` levels as a literal map inside the projection, longer ones
+as a broadcast join of that bounded table. A larger level table is written to
+the shared checkpoint folder and joined per column; AQE turns each join into
+a broadcast only when the runtime size allows it, otherwise it stays a
+sort-merge join. ``levels``, ``inverse`` and the check for unseen levels work
+alike on both; ``keep_levels`` moves a written table to a lasting place.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featflow.functions.parse import literal_map
@@ -24,6 +28,7 @@ from featflow.operators.stats import long_values
 from featflow.session import ensure_checkpoint_dir
 
 MAX_LEVELS = 50000
+LITERAL_LEVELS = 100
 
 
 def _table_path(spark: SparkSession) -> str:
@@ -44,13 +49,52 @@ def fit_levels(df: DataFrame, cols: Sequence[str], label: str | None = None,
     rows = agg.limit(max_levels + 1).collect()
     if len(rows) <= max_levels:
         return rows, None
-    coded = agg.withColumn("code", (F.row_number().over(
-        Window.partitionBy("column").orderBy(F.col("value").asc_nulls_last())) - 1).cast("int"))
     path = _table_path(df.sparkSession)
-    coded.write.parquet(path)
+    _coded(agg).write.parquet(path)
     return None, path
 
 
+def _coded(agg: DataFrame) -> DataFrame:
+    """Codes in value order without one window per column: the levels are
+    dealt out by range, numbered inside each range and shifted by the levels
+    of the ranges before it (columns x ranges offsets)."""
+    spark = agg.sparkSession
+    ranged = _table_path(spark)
+    agg.repartitionByRange("column", F.col("value").asc_nulls_last()).withColumn("part", F.spark_partition_id()) \
+       .write.parquet(ranged)
+    t = spark.read.parquet(ranged)
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = t.groupBy("column", "part").agg(F.count(F.lit(1)).alias("_n")) \
+               .select("column", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("column", "part").orderBy(F.col("value").asc_nulls_last())
+    return t.withColumn("_place", F.row_number().over(inside)).join(offsets, ["column", "part"]) \
+            .withColumn("code", (F.col("_before") + F.col("_place") - 1).cast("int")).drop("part", "_place", "_before")
+
+
+def _lookup(df: DataFrame, c: str, mapping: dict, dtype: str, name: str) -> tuple[DataFrame, Column]:
+    """``df`` and the expression of the mapped value of column ``c``: a
+    literal map up to LITERAL_LEVELS entries, else a broadcast join of the
+    mapping, which the fit bounds by ``max_levels`` rows."""
+    x = F.col(f"`{c}`").cast("string")
+    if not mapping:
+        return df, F.lit(None).cast(dtype)
+    if len(mapping) <= LITERAL_LEVELS:
+        return df, F.try_element_at(literal_map(mapping), x)
+    t = df.sparkSession.createDataFrame(list(mapping.items()), f"`{name}_k` string, `{name}` {dtype}")
+    return df.join(F.broadcast(t), x == F.col(f"{name}_k"), "left").drop(f"{name}_k"), F.col(name)
+
+
+def keep_levels(model: StatModel, path: str) -> StatModel:
+    """The model with its written level table copied to ``path``, a lasting
+    folder, so that a saved model does not point into the checkpoint folder.
+    A model that carries its levels is returned as it is."""
+    stats = model.fitted
+    if not stats.get("path"):
+        return model
+    SparkSession.active().read.parquet(stats["path"]).write.parquet(path)
+    return type(model)(config=json.dumps(model.conf), stats=json.dumps(stats | {"path": path}))
+
+
 def _codes(rows, cols):
     per = {c: sorted(r["value"] for r in rows if r["column"] == c and r["value"] is not None) for c in cols}
     return {c: {v: i for i, v in enumerate(vals)} for c, vals in per.items()}
@@ -61,14 +105,12 @@ class OrdinalModel(StatModel):
         unknown, missing = conf["unknown"], conf["missing"]
         if stats.get("path"):
             return self._apply_table(df, conf, stats["path"])
-        rep = {}
-        for c in conf["cols"]:
-            x = F.col(f"`{c}`").cast("string")
-            codes = stats["codes"].get(c, {})
-            hit = F.try_element_at(literal_map(codes), x) if codes else F.lit(None).cast("int")
-            rep[c] = F.when(x.isNull(), F.lit(missing).cast("int")) \
+        rep, out = {}, df
+        for i, c in enumerate(conf["cols"]):
+            out, hit = _lookup(out, c, stats["codes"].get(c, {}), "int", f"_code{i}")
+            rep[c] = F.when(F.col(f"`{c}`").isNull(), F.lit(missing).cast("int")) \
                       .otherwise(F.coalesce(hit, F.lit(unknown))).cast("int")
-        return df.select(*ordered_columns(df, rep))
+        return out.select(*ordered_columns(df, rep))
 
     def _apply_table(self, df, conf, path):
         table = df.sparkSession.read.parquet(path)
@@ -83,16 +125,34 @@ class OrdinalModel(StatModel):
                      .drop(f"_v{i}", f"_c{i}")
         return out
 
+    def level_table(self) -> DataFrame:
+        """(column, value, code) of every level, whatever the model's size."""
+        stats, spark = self.fitted, SparkSession.active()
+        if stats.get("path"):
+            return spark.read.parquet(stats["path"]).select("column", "value", "code")
+        return spark.createDataFrame([(c, v, i) for c, m in stats["codes"].items() for v, i in m.items()],
+                                     "column string, value string, code int")
+
     def levels(self) -> dict:
-        return {c: sorted(m, key=m.get) for c, m in self.fitted.get("codes", {}).items()}
+        """Levels in code order, for a model that carries them; a written
+        table is not collected: use ``level_table``."""
+        if self.fitted.get("path"):
+            raise ValueError("levels are in a written table: use level_table()")
+        return {c: sorted(m, key=m.get) for c, m in self.fitted["codes"].items()}
 
     def inverse(self, df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         """Codes back to levels (unknown / missing codes -> NULL)."""
-        rep = {}
-        for c in cols or self.conf["cols"]:
-            inv = {str(i): v for v, i in self.fitted["codes"].get(c, {}).items()}
-            rep[c] = F.try_element_at(literal_map(inv), F.col(f"`{c}`").cast("string"))
-        return df.select(*ordered_columns(df, rep))
+        stats, rep, out = self.fitted, {}, df
+        for i, c in enumerate(cols or self.conf["cols"]):
+            if stats.get("path"):
+                t = self.level_table().where(F.col("column") == c).select(F.col("code").alias(f"_c{i}"),
+                                                                          F.col("value").alias(f"_v{i}"))
+                out = out.join(t, F.col(f"`{c}`") == F.col(f"_c{i}"), "left")
+                rep[c] = F.col(f"_v{i}")
+            else:
+                inv = {str(code): v for v, code in stats["codes"].get(c, {}).items()}
+                out, rep[c] = _lookup(out, c, inv, "string", f"_v{i}")
+        return out.select(*ordered_columns(df, rep))
 
 
 class Ordinal(StatEstimator):
@@ -158,13 +218,11 @@ class TargetModel(StatModel):
         prior = stats["prior"]
         if stats.get("path"):
             return self._apply_table(df, conf, stats)
-        rep = {}
-        for c in conf["cols"]:
-            x = F.col(f"`{c}`").cast("string")
-            vals = stats["values"].get(c, {})
-            hit = F.try_element_at(literal_map(vals), x) if vals else F.lit(None).cast("double")
-            rep[c] = F.when(x.isNull(), F.lit(prior)).otherwise(F.coalesce(hit, F.lit(prior)))
-        return df.select(*ordered_columns(df, rep))
+        rep, out = {}, df
+        for i, c in enumerate(conf["cols"]):
+            out, hit = _lookup(out, c, stats["values"].get(c, {}), "double", f"_enc{i}")
+            rep[c] = F.coalesce(hit, F.lit(prior))
+        return out.select(*ordered_columns(df, rep))
 
     def _apply_table(self, df, conf, stats):
         table = df.sparkSession.read.parquet(stats["path"])
@@ -243,10 +301,8 @@ def assert_no_unseen(model: OrdinalModel, df: DataFrame) -> None:
     """Strict ordinal encoding - raise if ``df`` holds a level the model
     never saw (one anti-join job per column set, only the offending levels
     reach the driver, at most 20)."""
-    codes = model.fitted.get("codes", {})
-    spark = df.sparkSession
-    seen = spark.createDataFrame([(c, v) for c, m in codes.items() for v in m], "column string, value string")
+    seen = model.level_table().select("column", "value")
     lv = long_values(df, model.conf["cols"]).where(F.col("value").isNotNull()).distinct()
-    bad = lv.join(F.broadcast(seen), ["column", "value"], "left_anti").limit(20).collect()
+    bad = lv.join(seen, ["column", "value"], "left_anti").limit(20).collect()
     if bad:
         raise ValueError("unseen levels: " + ", ".join(f"{r['column']}={r['value']}" for r in bad))
