@@ -81,6 +81,14 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def save_best(models: dict, scores: dict[object, float], path: str):
+    """Of several fitted models only the one of the highest score (the
+    first on ties) is saved; returns its name."""
+    best = max(models, key=lambda name: scores[name])
+    save_model(models[best], path)
+    return best
+
+
 def load_pipeline(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
