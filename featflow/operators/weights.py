@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from featflow.operators.joins import broadcast_if_small
 
@@ -87,14 +87,18 @@ def weight_fixed(df: DataFrame, weights: Mapping[str, float], skip_non_numeric:
 
 
 def weight_by_key(df: DataFrame, table: WeightTable, key: str, fallback: str = "Unknown",
-                  zero_marker: str | None = "DI", zero_unless: str | None = "IUI") -> DataFrame:
+                  zero_marker: str | None = "DI", zero_unless: str | None = "IUI",
+                  leave_null_key: bool = False) -> DataFrame:
     """Row-wise weights chosen by the row's procedure ``key``; procedures
     missing from the table use the ``fallback`` column; features whose name
-    holds ``zero_marker`` get weight 0 unless the procedure is ``zero_unless``;
-    non-numeric columns are skipped."""
+    holds ``zero_marker`` get weight 0 unless the procedure is ``zero_unless``.
+    In a text column the cells that read as a number are weighted (and stay
+    text), the others are left alone; columns of other types are skipped.
+    ``leave_null_key``: rows without a procedure keep their values (W7)."""
     spark = df.sparkSession
     num = _numeric(df)
-    feats = [f for f in table.matched(df.columns) if f in num]
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name != key}
+    feats = [f for f in table.matched(df.columns) if f in num | text]
     if not feats:
         return df
     by_proc = (table.long(spark).where(F.col(table.feature).isin(feats))
@@ -108,5 +112,11 @@ def weight_by_key(df: DataFrame, table: WeightTable, key: str, fallback: str = "
         w = F.coalesce(F.col(f"_w_{f}"), F.lit(fb[f]))
         if zero_marker and zero_marker in f:
             w = F.when(F.col(key) == F.lit(zero_unless), w).otherwise(F.lit(0.0))
-        rep[f] = F.col(f"`{f}`") * w
+        if leave_null_key:
+            w = F.when(F.col(key).isNull(), F.lit(1.0)).otherwise(w)
+        if f in text:
+            x = F.col(f"`{f}`").try_cast("double")
+            rep[f] = F.when(x.isNotNull(), (x * w).cast("string")).otherwise(F.col(f"`{f}`"))
+        else:
+            rep[f] = F.col(f"`{f}`") * w
     return joined.withColumns(rep).drop("_proc", *[f"_w_{f}" for f in feats])

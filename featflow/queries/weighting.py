@@ -140,7 +140,7 @@ def _model_table():
 
 @query("weight_by_model", with_cases("""
 SELECT fr.case_id, mm.model, fr.segment, """ + ", ".join(
-    r6(f"fr.{f} * coalesce(w.{f}, d.{f})") + f" AS {f}" for f in FEATS) + """
+    r6(f"fr.{f} * CASE WHEN fr.segment IS NULL THEN 1.0 ELSE coalesce(w.{f}, d.{f}) END") + f" AS {f}" for f in FEATS) + """
 FROM fr CROSS JOIN (SELECT DISTINCT model FROM mw) mm
 LEFT JOIN (SELECT model, procedure, """ + ", ".join(f"max(CASE WHEN feature = '{f}' THEN weight END) AS {f}" for f in FEATS) + """
            FROM mw GROUP BY model, procedure) w ON w.model = mm.model AND w.procedure = fr.segment
@@ -153,8 +153,8 @@ JOIN (SELECT model, """ + ", ".join(f"max(CASE WHEN feature = '{f}' THEN weight
     "WHERE wl.procedure <> 'Unknown')"))
 def weight_by_model(spark, sf_dir):
     """W7 in its intended form: per-model multipliers on the base weights,
-    row-wise by procedure with AUTOMOBILE as the default; one output row per
-    (case, model)."""
+    row-wise by procedure with AUTOMOBILE as the default (a row without a
+    procedure keeps its values); one output row per (case, model)."""
     df = _frame(spark, sf_dir)
     listed = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
     rows = []
@@ -168,10 +168,10 @@ def weight_by_model(spark, sf_dir):
     # array), then ONE broadcast join on the (model, procedure) key
     wide = (df.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODEL_MULT])))
               .withColumn("_mk", F.concat("model", F.lit("|"),
-                                          F.when(F.col("segment").isin(*listed), F.col("segment"))
+                                          F.when(F.col("segment").isNull() | F.col("segment").isin(*listed), F.col("segment"))
                                            .otherwise(F.lit("AUTOMOBILE")))))
     t = WeightTable(rows)
-    out = weight_by_key(wide, t, "_mk", fallback=t.procedures[0], zero_marker=None)
+    out = weight_by_key(wide, t, "_mk", fallback=t.procedures[0], zero_marker=None, leave_null_key=True)
     return out.select(KEY, "model", "segment", *[round6(c).alias(c) for c in FEATS])
 
 
