@@ -69,11 +69,11 @@ class Impute(StatEstimator):
         if conf.get("by"):
             from featflow.operators.quantiles import MAX_GROUPS
             # one row per group; the statistics become a literal map, so the groups must be few
-            rows = df.groupBy(conf["by"]).agg(*aggs).limit(MAX_GROUPS + 1).collect()
+            rows = df.groupBy(F.col(conf["by"]).cast("string").alias("_by")).agg(*aggs).limit(MAX_GROUPS + 1).collect()
             if len(rows) > MAX_GROUPS:
                 raise ValueError(f"Impute(by=...) supports at most {MAX_GROUPS} groups")
-            return {"by_group": {str(r[conf["by"]]): {c: r[f"s{i}"] for i, c in enumerate(cols)}
-                                 for r in rows}}
+            return {"by_group": {r["_by"]: {c: r[f"s{i}"] for i, c in enumerate(cols)}
+                                 for r in rows if r["_by"] is not None}}
         row = df.agg(*aggs).first()
         return {"values": {c: row[f"s{i}"] for i, c in enumerate(cols)}}
 
@@ -85,13 +85,15 @@ class ClassMeanImputeModel(StatModel):
         return df.select(*ordered_columns(df, rep))
 
     def transform_labeled(self, df: DataFrame) -> DataFrame:
-        """Training rows: fill by the mean of the row's own class."""
+        """Training rows: fill by the mean of the row's own class (rows
+        without a class by the filled-train mean)."""
         conf, stats = self.conf, self.fitted
         label = conf["label"]
         rep = {}
         for c in stats["overall"]:
             per = {k: v[c] for k, v in stats["class_means"].items() if v.get(c) is not None}
-            rep[c] = F.coalesce(F.col(f"`{c}`"), F.try_element_at(literal_map(per), F.col(label).cast("string")))
+            rep[c] = F.coalesce(F.col(f"`{c}`"), F.try_element_at(literal_map(per), F.col(label).cast("string")) if per else F.lit(None),
+                                F.when(F.col(label).isNull(), F.lit(stats["overall"][c])))
         return df.select(*ordered_columns(df, rep))
 
 
@@ -107,20 +109,22 @@ class ClassMeanImpute(StatEstimator):
         aggs = [F.count(F.lit(1)).alias("_rows")]
         for i, c in enumerate(cols):
             aggs += [F.sum(F.col(f"`{c}`")).alias(f"s{i}"), F.count(F.col(f"`{c}`")).alias(f"n{i}")]
-        rows = df.groupBy(label).agg(*aggs).collect()  # one row per class
+        rows = df.groupBy(F.col(label).cast("string").alias("_class")).agg(*aggs).collect()  # one row per class
         class_means, overall = {}, {}
         for i, c in enumerate(cols):
             if sum(r["_rows"] - r[f"n{i}"] for r in rows) == 0:
                 continue
             tot, n = 0.0, 0
             for r in rows:
-                k = str(r[label])
-                m = (r[f"s{i}"] / r[f"n{i}"]) if r[f"n{i}"] else None
-                class_means.setdefault(k, {})[c] = m
+                k = r["_class"]
+                m = (r[f"s{i}"] / r[f"n{i}"]) if r[f"n{i}"] and k is not None else None
+                if k is not None:
+                    class_means.setdefault(k, {})[c] = m
                 if m is not None:
                     tot += r[f"s{i}"] + (r["_rows"] - r[f"n{i}"]) * m
                     n += r["_rows"]
                 else:
+                    tot += r[f"s{i}"] or 0.0
                     n += r[f"n{i}"]
             overall[c] = tot / n if n else None
         return {"class_means": class_means, "overall": overall}

@@ -158,6 +158,7 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                     for i, c in enumerate(cols)}
         return exact_quantiles(df, cols, probs)
+    df = df.withColumn(by, F.col(by).cast("string"))       # group keys as Spark writes them
     if relative_error and relative_error > 0:
         aggs = [quantile_expr(c, probs, relative_error).alias(f"q{i}") for i, c in enumerate(cols)]
         out = {}

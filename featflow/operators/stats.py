@@ -51,6 +51,15 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False,
             .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
 
 
+def recast_low_cardinality(df: DataFrame, columns: Sequence[str], below: int = 10) -> list[str]:
+    """Numeric ``columns`` with fewer than ``below`` distinct values: those to
+    treat as categories (cast them to string on every split alike)."""
+    few = distinct_counts(df, columns, approx=False).where(F.col("n_distinct") < below)
+    found = {r["column"] for r in few.collect()}                      # at most one row per column
+    empty = {r["column"] for r in null_counts(df, columns).where(F.col("n_null") == df.count()).collect()}
+    return [c for c in columns if c in found | empty]
+
+
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows per class, share of the total, table width."""
     total = Window.partitionBy()  # over the <= n_classes aggregated rows only
@@ -59,16 +68,6 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
                       F.lit(len(df.columns)).cast("bigint").alias("n_columns")))
 
 
-def _pair_corr(x: str, y: str):
-    """Pearson correlation over rows where both are present; NULL (not an
-    error) for a constant column: covar_pop / (sd_x * sd_y) with try_divide
-    (``corr`` raises DIVIDE_BY_ZERO under ANSI mode)."""
-    cx, cy = F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")
-    mx = F.when(cy.isNotNull(), cx)
-    my = F.when(cx.isNotNull(), cy)
-    return F.try_divide(F.covar_pop(cx, cy), F.stddev_pop(mx) * F.stddev_pop(my))
-
-
 def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """the full correlation matrix in long form (a, b, corr) in one scan:
     each row is expanded to one (a, b, xa, xb) row per column pair (narrow)
@@ -131,7 +130,6 @@ def select_cumulative(imp: DataFrame, threshold: float = 0.8, at_least: int = 10
     """Normalise, running share in descending order, keep share <= threshold;
     if fewer than ``at_least`` pass, keep the top ``at_least`` instead."""
     w_all = Window.partitionBy()
-    w = Window.orderBy(F.col(value).desc(), F.col(name))
     w = Window.orderBy(F.col("norm").desc(), F.col(name))
     t = imp.select(name, (F.col(value) / F.sum(value).over(w_all)).alias("norm"))
     t = t.select(name, "norm", F.sum("norm").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),

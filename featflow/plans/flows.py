@@ -27,7 +27,7 @@ from featflow.plans.training import cached
 
 def fold_ensemble(train: DataFrame, test: DataFrame, key: str, label: str, categorical: Sequence[str],
                   numeric: Sequence[str], k: int = 7, seed: int = 42, max_iter: int = 50, max_depth: int = 5,
-                  tops: Sequence[int] = (3, 5)) -> dict:
+                  tops: Sequence[int] = (3, 5), report_top: int = 20) -> dict:
     # 1. leakage screens: strongly target-correlated numerics and leak-named columns are dropped
     suspects = [r["feature"] for r in leak_screen(train, list(numeric), label, top=None).collect()]
     dropped = sorted(set(suspects) | set(leaky_columns([c for c in train.columns if c not in (key, label)])))
@@ -39,14 +39,18 @@ def fold_ensemble(train: DataFrame, test: DataFrame, key: str, label: str, categ
     fill = Impute(cat, strategy="label", value="Unknown").fit(tr)
     enc = Ordinal(cat, unknown=-1).fit(fill.transform(tr))
     feats = cat + num
-    tr = cached(M.assemble(enc.transform(fill.transform(tr)), feats))
+    base = cached(M.assemble(enc.transform(fill.transform(tr)), feats))
     te = M.assemble(enc.transform(fill.transform(te)), feats)
     # 3. stratified folds; each fold model stops early on its own held-out fold
-    tr = cached(S.stratified_folds(tr, key, label, k=k, seed=seed, name="fold"))
-    oof_parts, test_parts = [], []
+    tr = cached(S.stratified_folds(base, key, label, k=k, seed=seed, name="fold"))
+    tr.count()
+    base.unpersist()
+    oof_parts, test_parts, report = [], [], []
     for f in range(k):
         data = tr.withColumn("_valid", F.col("fold") == f)
         m = M.gbt(max_iter=max_iter, max_depth=max_depth, seed=seed, validation_col="_valid", label=label).fit(data)
+        ranked = sorted(M.importances(m, feats), key=lambda t: (-t[1], t[0]))
+        report.append({"fold": f, "best_iteration": m.getNumTrees, "importances": ranked[:report_top]})
         oof_parts.append(M.positive_probability(m.transform(tr.where(F.col("fold") == f)))
                          .select(key, F.lit(f).alias("model"), F.col("probability_1").alias("score"), label))
         test_parts.append(M.positive_probability(m.transform(te))
@@ -64,7 +68,9 @@ def fold_ensemble(train: DataFrame, test: DataFrame, key: str, label: str, categ
     for t in tops:
         if t <= k:
             ens[f"top{t}"] = N.blend(tst, N.topk_weights(fold_auc, t), key=key, keep=())
-    return {"dropped": dropped, "fold_auc": aucs, "oof_auc": overall, "ensembles": ens,
+    for entry in report:
+        entry["auc"] = aucs[entry["fold"]]
+    return {"dropped": dropped, "fold_auc": aucs, "oof_auc": overall, "report": report, "ensembles": ens,
             "_cached": [tr, oof, tst]}
 
 

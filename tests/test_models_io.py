@@ -128,6 +128,8 @@ def test_fold_ensemble_flow(spark, sf_small):
     tr, te = df.where("split = 'train'").drop("split"), df.where("split = 'test'").drop("split", "label")
     res = fold_ensemble(tr, te, "case_id", "label", CATEGORICAL, NUMERIC, k=3, max_iter=5, max_depth=3, tops=(2,))
     assert set(res["fold_auc"]) == {0, 1, 2} and res["oof_auc"] > 0.6
+    assert [e["fold"] for e in res["report"]] == [0, 1, 2]
+    assert all(1 <= e["best_iteration"] <= 5 and e["importances"] and e["auc"] > 0.5 for e in res["report"])
     n_test = te.count()
     for name, ens in res["ensembles"].items():
         assert ens.count() == n_test, name
@@ -166,3 +168,19 @@ def test_stacked_search_flow(spark, sf_small):
     assert sub.count() == te.count()
     assert auc(sub.join(df.select("case_id", "label"), "case_id"), score="probability").first()["auc"] > 0.6
     release(res)
+
+
+def test_adaboost_checkpoints_and_saves(spark, sf_small, tmp_path):
+    from featflow.queries.modeling import FEATURES, prepared
+    tr, te = prepared(spark, sf_small)
+    plain = M.adaboost(tr, FEATURES, rounds=5)
+    often = M.adaboost(tr, FEATURES, rounds=5, checkpoint_every=2)
+    assert plain.fitted == often.fitted and 1 <= len(plain.fitted["stumps"]) <= 5
+    lr = M.logistic(C=1.0, n_rows=100).fit(tr)
+    assert IO.save_best({"lr": lr, "ada": plain}, {"lr": 0.6, "ada": 0.7}, str(tmp_path / "best")) == "ada"
+    again = M.AdaBoostModel.load(str(tmp_path / "best"))
+    scores = lambda m: sorted(r.probability_1 for r in m.transform(te).select("probability_1").collect())
+    assert scores(again) == scores(plain)
+    with pytest.raises(ValueError):
+        M.logistic(C=1.0)
+    tr.unpersist()

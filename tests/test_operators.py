@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from featflow.operators.encode import OneHot, Ordinal, Target, assert_no_unseen, fit_levels
+from featflow.operators.encode import OneHot, Ordinal, Target, assert_no_unseen, fit_levels, keep_levels
 from featflow.operators.impute import ClassMeanImpute, Impute
 from featflow.operators.scale import Fence, MinMax, Robust, Standard, YeoJohnson
 
@@ -174,3 +174,76 @@ def test_onehot_refuses_unbounded_levels(spark):
     df = spark.range(30).select(F.col("id").cast("string").alias("k"))
     with pytest.raises(ValueError):
         OneHot(["k"], max_levels=10).fit(df)
+
+
+def test_large_level_table_inverse_strict_and_kept_copy(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i % 37}",) for i in range(200)] + [(None,)], "k string")
+    new = spark.createDataFrame([("k1",), ("k36",), ("zz",), (None,)], "k string")
+    carried, written = Ordinal(["k"]).fit(df), Ordinal(["k"], max_levels=5).fit(df)
+    assert "path" in written.fitted and len(carried.levels()["k"]) == 37
+    key = lambda m: sorted(tuple(r) for r in m.level_table().collect())
+    assert key(carried) == key(written)
+    for m in (carried, written):
+        assert sorted((r.k for r in m.transform(new).collect()), key=str) == sorted([1, 30, -1, None], key=str)
+        back = [r.k for r in m.inverse(m.transform(new)).collect()]
+        assert sorted(map(str, back)) == ["None", "None", "k1", "k36"]
+        assert_no_unseen(m, df)
+        with pytest.raises(ValueError):
+            assert_no_unseen(m, new)
+    with pytest.raises(ValueError):
+        written.levels()
+    kept = keep_levels(written, str(tmp_path / "levels"))
+    assert str(tmp_path) in kept.fitted["path"] and key(kept) == key(written)
+
+
+def test_many_carried_levels_use_a_bounded_join(spark):
+    rows = [(f"k{i:04d}", i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, label int")
+    m = Ordinal(["k"]).fit(df)
+    assert {r.k for r in m.transform(df).collect()} == set(range(300))
+    assert {r.k for r in m.inverse(m.transform(df)).collect()} == {k for k, _ in rows}
+    t = Target(["k"]).fit(df)
+    assert {round(r.k, 12) for r in t.transform(df).collect()} == {round(v, 12) for v in t.fitted["values"]["k"].values()}
+
+
+@pytest.mark.parametrize("power", [8.0, 25.0, -12.0])
+def test_yeo_johnson_widens_its_bracket(spark, power):
+    """Values whose transform of the given power is evenly spread around."""
+    spread = [3 + i / 40 for i in range(-40, 41)]
+    xs = [(v ** (1 / power) if power > 0 else (v / 10) ** (1 / power)) - 1 for v in spread]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    lam = YeoJohnson(["x"]).fit(df).fitted["x"][0]
+
+    def likelihood(lam):
+        t = [((1 + x) ** lam - 1) / lam for x in xs]
+        mean = sum(t) / len(t)
+        return -len(t) / 2 * math.log(sum((v - mean) ** 2 for v in t) / len(t)) + (lam - 1) * sum(math.log1p(x) for x in xs)
+
+    assert abs(lam) > 3.2
+    assert likelihood(lam) >= max(likelihood(lam - 0.002), likelihood(lam + 0.002))
+
+
+def test_class_mean_boolean_and_null_labels(spark):
+    df = spark.createDataFrame([(True, 4.0), (True, None), (False, 1.0), (False, None), (None, None)], "label boolean, x double")
+    m = ClassMeanImpute(["x"]).fit(df)
+    got = sorted((str(r.label), r.x) for r in m.transform_labeled(df).collect())
+    assert got == [("False", 1.0), ("False", 1.0), ("None", 2.5), ("True", 4.0), ("True", 4.0)]
+    for strategy in ("mean", "median"):
+        out = Impute(["x"], strategy=strategy, by="label").fit(df).transform(df).where("label is not null")
+        assert sorted(r.x for r in out.collect()) == [1.0, 1.0, 4.0, 4.0]
+
+
+def test_weights_on_numeric_text_and_rows_without_a_procedure(spark):
+    from featflow.operators.weights import WeightTable, weight_by_key
+    t = WeightTable([{"feature": "x", "A": 2, "Unknown": 5}, {"feature": "s", "A": 3, "Unknown": 4}])
+    df = spark.createDataFrame([("A", 1.0, "2.5"), ("A", 1.0, "text"), (None, 1.0, "2.5"), ("Z", None, None)],
+                               "proc string, x double, s string")
+    rows = lambda **kw: sorted((tuple(r) for r in weight_by_key(df, t, "proc", **kw).collect()), key=str)
+    assert rows() == sorted([("A", 2.0, "7.5"), ("A", 2.0, "text"), (None, 5.0, "10.0"), ("Z", None, None)], key=str)
+    assert (None, 1.0, "2.5") in rows(leave_null_key=True)
+
+
+def test_low_cardinality_numerics(spark):
+    from featflow.operators.stats import recast_low_cardinality
+    df = spark.range(100).selectExpr("id % 9 as few", "id as many", "id % 10 as ten", "cast(null as int) as none")
+    assert recast_low_cardinality(df, ["few", "many", "ten", "none"]) == ["few", "none"]
