@@ -184,3 +184,29 @@ def test_adaboost_checkpoints_and_saves(spark, sf_small, tmp_path):
     with pytest.raises(ValueError):
         M.logistic(C=1.0)
     tr.unpersist()
+
+
+def test_search_table_and_meta_models(spark, sf_small):
+    from pyspark.ml.classification import LogisticRegression
+
+    from featflow.operators.sample import stratified_folds
+    from featflow.plans import training as T
+    from featflow.queries.modeling import prepared
+    base, te = prepared(spark, sf_small)
+    tr = T.cached(stratified_folds(base, "case_id", "label", k=2))
+    make = {n: (lambda r=r: LogisticRegression(labelCol="label", regParam=r, maxIter=20)) for n, r in (("plain", 0.0), ("ridge", 0.5))}
+    table = T.search_table(tr, make, "fold")
+    rows = table.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2] and rows[0].mean_score >= rows[1].mean_score > 0.5
+    assert abs(rows[0].mean_score - (rows[0].split0_score + rows[0].split1_score) / 2) < 1e-12
+    assert all(r.mean_fit_seconds > 0 for r in rows)
+    acc = T.search_table(tr, make, "fold", metric=T.accuracy()).collect()
+    assert all(0.5 < r.mean_score <= 1 for r in acc)
+    oof, tst = T.oof_scores(tr, "case_id", "fold", make, test=te)
+    n = te.count()
+    forest = lambda weight_col: M.forest(num_trees=5, max_depth=3, weight_col=weight_col)
+    for kw in ({"balanced": True}, {"balanced": True, "meta": forest}):
+        out = T.stack(oof, tst, list(make), **kw)
+        assert out.count() == n and out.where("probability is null").count() == 0
+    base.unpersist()
+    tr.unpersist()
