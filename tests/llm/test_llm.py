@@ -425,6 +425,17 @@ def test_pipeline(spark, tmp_path):
     assert sorted(tuple(r)[:5] for r in run.collect()) == sorted(tuple(r)[:5] for r in docs.collect())
 
 
+def test_pipeline_drops_near_copies_from_80(spark, docs):
+    words = [f"t{i}" for i in range(104)]
+    far = [(10_000, " ".join(words)), (10_001, " ".join(words[:30] + ["one"] + words[31:60] + ["two"] + words[61:90] + ["three"] + words[91:]))]     # 85 of 115 shingles: 0.74
+    near = [(10_002, prose(70, 60)), (10_003, prose(70, 60) + " " + prose(71, 12))]     # 56 of 68 shingles: 0.82
+    rows = spark.createDataFrame(far + near, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    want = brute.near_duplicates([(r.doc_id, r.text) for r in rows.collect()], num=80)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, SF).collect())
+    assert kept == sorted(i for i, (_, c) in want.items() if c == i)
+    assert {10_000, 10_001, 10_002} <= set(kept) and 10_003 not in kept
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
