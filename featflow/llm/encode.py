@@ -7,6 +7,10 @@ of the pieces, joined, are the ids of the text. Pieces repeat a lot: their ids
 are kept in a table of at most ``limit`` entries in each worker (the pieces
 met first, so the common ones). Plain words go to the tokenizer's model
 directly; every other piece goes through its whole pipeline.
+
+With ``added``, as ``encoder`` sets it, the strings of the tokenizer's added
+tokens are their ids, as in the library's plain ``encode``: a text is cut at
+them first, before anything is normalised. Without it they are ordinary text.
 """
 
 from __future__ import annotations
@@ -36,9 +40,10 @@ def byte_letters() -> list[str]:
 class Encoder:
     """``bytes_of(text)`` are the text's ids as little-endian ``dtype``."""
 
-    def __init__(self, path: str, limit: int = CACHE_LIMIT):
+    def __init__(self, path: str, limit: int = CACHE_LIMIT, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        self.tokenizer.encode_special_tokens = True     # in a piece their strings are ordinary text
         self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
@@ -50,6 +55,11 @@ class Encoder:
         self.lowering = "Lowercase" in str(self.tokenizer.normalizer) and "ByteLevel" in kind and "Removed" in kind
         self.marks = {m: self._packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
         self.table = _Table(self, limit)
+        self.added = {t.content: self._packed([i]) for i, t in tokens.items()}
+        names = sorted(self.added, key=len, reverse=True)       # leftmost, then longest, as the library matches
+        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        plain = all(t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in tokens.values())
+        self.whole = None if plain else Tokenizer.from_file(path)       # matches that a cut cannot follow
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if self.native else np.array(ids, self.dtype).tobytes()
@@ -82,6 +92,17 @@ class Encoder:
         return _END_MARK.sub(r" \1", text.lower())
 
     def bytes_of(self, text: str) -> bytes:
+        if self.whole:
+            return self._packed(self.whole.encode(text, add_special_tokens=False).ids)
+        if self.cut is None:
+            return self._bytes_between(text)
+        parts = self.cut.split(text)
+        if len(parts) == 1:
+            return self._bytes_between(text)
+        return b"".join(self.added[p] if k % 2 else self._bytes_between(p) for k, p in enumerate(parts))
+
+    def _bytes_between(self, text: str) -> bytes:
+        """Ids of a text in which no added token is looked for."""
         if not text:
             return b""
         if self.lowering:
@@ -114,5 +135,5 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=True)
     return _encoders[path]

@@ -16,7 +16,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -248,6 +248,28 @@ def test_encoder_equals_tokenizer(name):
         assert own.ids(t).tolist() == direct.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_matches_added_tokens(name):
+    """The encoder of the operators against the unmodified library."""
+    rng = random.Random(6)
+    bits = ["a", "The", " ", "  ", "\n", "'s", ".", ",", "É", "日本", "İ", "<|endoftext|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "|>", "<", "x1"]
+    direct = Tokenizer.from_file(public_tokenizers.path(name))
+    own = encode.encoder(public_tokenizers.path(name))
+    assert direct.token_to_id("<|endoftext|>") in own.ids("the end <|endoftext|> next").tolist()
+    for t in ["", " ", "<|endoftext|>", "the end <|endoftext|> next", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(3000))]:
+        assert own.ids(t).tolist() == direct.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_that_strip(tmp_path):
+    """Added tokens that take spaces along, or match normalised text, go through the library."""
+    direct = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    direct.add_tokens([AddedToken("<sep>", lstrip=True, rstrip=True), AddedToken("Mark", normalized=True, single_word=True)])
+    direct.save(str(tmp_path / "t.json"))
+    own = encode.Encoder(str(tmp_path / "t.json"), added=True)
+    for t in ("a  <sep> b", "a mark, b", "MARK remarks <sep>", "", "a <|endoftext|>b"):
+        assert own.ids(t).tolist() == direct.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files(spark, edge, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     direct = Tokenizer.from_file(path)
