@@ -6,13 +6,16 @@ generators then propose further spans, overlapping or not: long tokens that
 mix letters and digits (``secret``) and grouped numbers (``number``). Each
 candidate is a cell of discrete format and context features. Candidates that a
 word such as "token =" or "iban" announces are the positives of distant
-supervision; the announcing word itself is no feature, so the trees learn what
-announced values look like and find unannounced ones too.
+supervision and are selected by that evidence alone, whatever their cell; the
+announcing word itself is no feature, so the trees learn what announced values
+look like and find unannounced ones too.
 
 One aggregate counts candidates by (cell, label, fold): its rows are bounded
 by the number of cells (CELLS), not by the corpus, so boosting, calibration
 (isotonic, on the fold held out) and the threshold work on that table. A cell
-is selected when its calibrated precision reaches ``PRECISION``; without
+is selected, unannounced values included, when its calibrated precision reaches
+``PRECISION``; every unannounced candidate counts as a negative there, so a
+format that is mostly unannounced adds its announced values only. Without
 announced values nothing is added. Spans that touch a base span are dropped,
 then the better of two touching candidates stays.
 
@@ -50,7 +53,7 @@ GENERATORS: dict[str, str] = {
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
 }
 ANNOUNCED = {
-    "number": r"(?i)(?:ssn|iban|passport|account|acct|social security|tel|phone|fax|dob)(?: no| number)?\.?\s?[=:#]?\s?$",
+    "number": r"(?i)(?<![a-z])(?:ssn|iban|passport|account|acct|social security|tel|phone|fax|dob)(?: no| number)?\.?\s?[=:#]?\s?$",
     "secret": r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?$",
 }
 CONTEXT = 32
@@ -232,9 +235,13 @@ def with_spans(docs: DataFrame, text_col: str, selected: Mapping[int, float], na
     text = F.col(text_col)
     base = [base_spans(text, kind).alias(kind) for kind in BASE]
     chosen = sorted(selected)
-    cand = candidates(text) if chosen else F.expr(f"cast(array() as {CANDIDATE})")
-    both = F.array(F.struct(*base, cand.alias("cand")))
-    rank = F.create_map(*[F.lit(x) for c in chosen for x in (c, float(selected[c]))]) if chosen else None
+    both = F.array(F.struct(*base, candidates(text).alias("cand")))
+    scores = F.create_map(*[F.lit(x) for c in chosen for x in (c, float(selected[c]))]) if chosen else None
+
+    def rank(c: Column) -> Column:
+        """Announced first, then by score; null where not selected."""
+        score = F.element_at(scores, c["cell"]) if chosen else F.lit(None).cast("double")
+        return F.when(c["label"] == 1, F.lit(math.inf)).otherwise(score)
 
     def touches(a: Column, b: Column) -> Column:
         return (a["s"] < b["e"]) & (b["s"] < a["e"])
@@ -243,12 +250,8 @@ def with_spans(docs: DataFrame, text_col: str, selected: Mapping[int, float], na
         known = F.concat(*[z[k] for k in BASE])
         kinds = {}
         for i, kind in enumerate(GENERATORS):
-            if not chosen:
-                kinds[kind] = F.expr(f"cast(array() as {SPAN})")
-                continue
-            good = F.filter(z["cand"], lambda c: c["cell"].isin(chosen) & ~F.exists(known, lambda b: touches(c, b)))
-            better = lambda c, o: ((F.element_at(rank, o["cell"]) > F.element_at(rank, c["cell"]))
-                                   | (F.element_at(rank, o["cell"]) == F.element_at(rank, c["cell"])) & (o["s"] < c["s"]))
+            good = F.filter(z["cand"], lambda c: rank(c).isNotNull() & ~F.exists(known, lambda b: touches(c, b)))
+            better = lambda c, o: (rank(o) > rank(c)) | (rank(o) == rank(c)) & (o["s"] < c["s"])
             own = F.filter(good, lambda c: (F.floor(c["cell"] / (CELLS // FEATURES[0][1])) == i)
                            & ~F.exists(good, lambda o: touches(c, o) & better(c, o)))
             kinds[kind] = F.transform(own, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))

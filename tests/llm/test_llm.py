@@ -224,6 +224,19 @@ def test_learned_secrets(spark):
     assert all("secret" in got[k] for k in range(60)) and not any(got[100 + k] for k in range(60)) and got[999] == "secret:5:45"
 
 
+def test_announced_secrets_among_hashes(spark):
+    """Announced values go even where most values of their format are unannounced."""
+    rng = random.Random(2)
+    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(k, f'token = "{token()}" end') for k in range(30)] + [(100 + k, f'commit "{token()}" end') for k in range(90)]
+    rows += [(300, "passport no 12-345-678"), (301, "hotel 12-14 and 2020-01-02")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert all(got[k] == "secret:9:49" for k in range(30)) and got[300] == "number:12:22" and got[301] == ""
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == 'token = "[SECRET]" end' and clean[300] == "passport no [NUMBER]"
+
+
 def test_calibration_is_monotone():
     steps = pii.calibrated([(0.1, 1, 9), (0.2, 5, 5), (0.3, 3, 7), (0.9, 10, 0)])
     assert [s for s, _ in steps] == sorted(s for s, _ in steps) and [p for _, p in steps] == [0.1, 0.4, 1.0]
