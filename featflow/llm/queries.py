@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featflow.llm import (html_extract, kdtree, mixing, near_dup, packing, pii, quality_model, quality_rules, substring,
+from featflow.llm import (html_extract, kdtree, merkle, mixing, near_dup, packing, pii, quality_model, quality_rules, substring,
                           token_store)
 from featflow.llm.store import shared_path
 
@@ -66,13 +66,30 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_repeated_passages, op3_source_mix, op4_quality_rules, op5_personal_data,
-                            op6_token_files, op7_packed_sequences, op8_main_text, op9_quality_scores, op10_nearest_vectors)}
+                            op6_token_files, op7_packed_sequences, op8_main_text, op9_quality_scores, op10_nearest_vectors, op13_merkle_manifest)}
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Unsigned CRC-32 of a string of ASCII characters.
+_CRC32 = ("xor(list_reduce(list_prepend(4294967295, flatten([[ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for ch in string_split({}, '')])), "
+          "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)")
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
 SQL: dict[str, str] = {
     "op1_near_duplicates": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
@@ -136,4 +153,31 @@ WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS other
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes AS (SELECT source, 0 AS level, i, leaf AS d, n FROM placed
+          UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, level, i // 3),
+subroots AS (SELECT source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+above AS (SELECT 0 AS level, i, d, n FROM subroots
+          UNION ALL SELECT level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM above WHERE n > 1 GROUP BY level, i // 3),
+sides AS (SELECT source, level, i, n, coalesce(string_agg(d, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+                 coalesce(string_agg(d, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+          FROM nodes WHERE n > 1 WINDOW r AS (PARTITION BY source, level, i // 3 ORDER BY i)),
+sides_above AS (SELECT level, i, n, coalesce(string_agg(d, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+                       coalesce(string_agg(d, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+                FROM above WHERE n > 1 WINDOW r AS (PARTITION BY level, i // 3 ORDER BY i)),
+walk AS (SELECT doc_id, leaf, source, 0 AS level, i, n, other AS d, '' AS proof FROM placed
+         UNION ALL
+         SELECT w.doc_id, w.leaf, w.source, w.level + 1, w.i // 3, (w.n + 2) // 3, sha256(s.a || w.d || s.b), w.proof || s.a || s.b
+         FROM walk w JOIN sides s ON s.source IS NOT DISTINCT FROM w.source AND s.level = w.level AND s.i = w.i),
+climb AS (SELECT w.doc_id, w.leaf, r.d AS subroot, 0 AS level, r.i, r.n, w.d, w.proof FROM walk w JOIN subroots r ON r.source IS NOT DISTINCT FROM w.source WHERE w.n = 1
+          UNION ALL
+          SELECT w.doc_id, w.leaf, w.subroot, w.level + 1, w.i // 3, (w.n + 2) // 3, sha256(s.a || w.d || s.b), w.proof || s.a || s.b
+          FROM climb w JOIN sides_above s ON s.level = w.level AND s.i = w.i)
+SELECT c.doc_id, c.leaf, c.subroot, a.d AS root, sha256(c.proof) AS proof_sha256, c.d AS folded_root, c.d = a.d AS verified
+FROM climb c JOIN above a ON c.n = 1 AND a.n = 1""",
 }
