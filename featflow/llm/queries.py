@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featflow.llm import (html_extract, kdtree, merkle, mixing, near_dup, packing, pii, quality_model, quality_rules, substring,
+from featflow.llm import (html_extract, kdtree, merkle, mixing, near_dup, packing, pii, prefix_trie, quality_model, quality_rules, substring,
                           token_store)
 from featflow.llm.store import shared_path
 
@@ -66,13 +66,18 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_repeated_passages, op3_source_mix, op4_quality_rules, op5_personal_data,
-                            op6_token_files, op7_packed_sequences, op8_main_text, op9_quality_scores, op10_nearest_vectors, op13_merkle_manifest)}
+                            op6_token_files, op7_packed_sequences, op8_main_text, op9_quality_scores, op10_nearest_vectors, op11_conversation_trie,
+                            op13_merkle_manifest)}
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -153,6 +158,27 @@ WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_conversation_trie": f"""
+WITH t AS (SELECT conv_id, length(text) AS size, dg, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) AS pos
+           FROM (SELECT conv_id, turn, coalesce(text, '') AS text,
+                        sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS dg
+                 FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY conv_id) b USING (base)),
+r AS (SELECT k.conv_id, t.pos AS depth, t.dg, t.size FROM k JOIN t ON t.conv_id = k.base AND t.pos <= k.k
+      UNION ALL SELECT k.conv_id, t.pos - k.h + k.k, t.dg, t.size FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos > k.h),
+p AS (SELECT conv_id, depth, sha256(string_agg(dg, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS id, size FROM r
+      UNION ALL SELECT conv_id, 0, '', 0 FROM k),
+q AS (SELECT *, lag(id) OVER o AS parent, lead(id) OVER o IS NULL AS last FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY depth)),
+v AS (SELECT depth, id, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM q GROUP BY depth, id),
+kids AS (SELECT parent AS id, count(*) AS n FROM v WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT x.id, y.id AS sub FROM p x JOIN p y ON x.conv_id = y.conv_id AND y.depth >= x.depth),
+sums AS (SELECT b.id, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((w.n_convs - 1) * w.size) AS saved
+         FROM below b JOIN v w ON w.id = b.sub LEFT JOIN kids ON kids.id = b.sub GROUP BY b.id)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, sums.n_leaves,
+       sums.saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN sums USING (id) LEFT JOIN kids USING (id) LEFT JOIN v u ON u.id = v.parent""",
     "op13_merkle_manifest": f"""
 WITH RECURSIVE leaves AS (
   SELECT doc_id, source, {_leaf("text")} AS leaf,
