@@ -230,6 +230,7 @@ def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     leaves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                          leaf_digest(list(fields.values())).alias("leaf"),
                          F.when(cut & F.contains("text", F.lit("\n")), changed).alias("other"))
+    leaves, _ = written(leaves, "merkle-digests")       # dealing by ranges reads its input twice
     placed = positions(leaves, ["source"], ["doc_id", "leaf"], "rank", "merkle-leaves")
     sizes = placed.groupBy(F.col("source").alias("tree")).agg(F.count(F.lit(1)).alias("n"))
     first = (placed.join(broadcast_if_small(sizes), F.col("source").eqNullSafe(F.col("tree")))
