@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featflow.llm import (html_extract, kdtree, merkle, mixing, near_dup, packing, pii, prefix_trie, quality_model, quality_rules, substring,
+from featflow.llm import (html_extract, kdtree, merkle, mixing, near_dup, ngram_join, packing, pii, prefix_trie, quality_model, quality_rules, substring,
                           token_store)
 from featflow.llm.store import shared_path
 
@@ -70,6 +70,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_repeated_passages, op3_source_mix, op4_quality_rules, op5_personal_data,
                             op6_token_files, op7_packed_sequences, op8_main_text, op9_quality_scores, op10_nearest_vectors, op11_conversation_trie,
-                            op13_merkle_manifest)}
+                            op12_ngram_join, op13_merkle_manifest)}
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -179,6 +183,16 @@ sums AS (SELECT b.id, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((w
 SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, sums.n_leaves,
        sums.saved::BIGINT AS saved_tokens, v.ends_sha256
 FROM v JOIN sums USING (id) LEFT JOIN kids USING (id) LEFT JOIN v u ON u.id = v.parent""",
+    "op12_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 85 * (x.n + y.n - c.c)),
+r AS (SELECT a AS node, a AS reached FROM (SELECT DISTINCT a FROM e) UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.m, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(reached) AS m FROM r GROUP BY node) m ON m.node = d.doc_id""",
     "op13_merkle_manifest": f"""
 WITH RECURSIVE leaves AS (
   SELECT doc_id, source, {_leaf("text")} AS leaf,
