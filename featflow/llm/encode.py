@@ -1,12 +1,17 @@
 """Token ids of whole texts with the tokenizers library.
 
-A text is cut at each single space that stands between two other characters
-that are not white space. Both tokenizer kinds used here (byte-level BPE, and
-BPE over lower-cased words without white space) split there anyway, so the ids
-of the pieces, joined, are the ids of the text. Pieces repeat a lot: their ids
-are kept in a table of at most ``limit`` entries in each worker (the pieces
-met first, so the common ones). Plain words go to the tokenizer's model
-directly; every other piece goes through its whole pipeline.
+Two kinds of tokenizer are taken apart: byte-level BPE, and BPE over lower-cased
+words without white space. Both cut a text by a pattern into words, numbers,
+runs of marks and white space, and the ids of a cut depend on nothing else. A
+text of Latin-1 characters is cut here by the same pattern (its classes written
+out for Latin-1, where normalising is lower case alone), and a new cut goes to
+the tokenizer's own model. Cuts repeat a lot: their ids are kept in a table of
+at most ``CACHE_BYTES`` in each worker, those met first, so the common ones.
+
+Any other text is split at single spaces between characters that are not white
+space, where both kinds cut anyway; its Latin-1 pieces go the same way, and
+every other piece through the library whole. Other kinds of tokenizer encode
+whole texts through the library.
 
 With ``added``, as ``encoder`` sets it, the strings of the tokenizer's added
 tokens are their ids, as in the library's plain ``encode``: a text is cut at
@@ -18,15 +23,23 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-CACHE_LIMIT = 800_000
-_WHITE_PAIR = re.compile(r"\s\s")
+CACHE_BYTES = 32 << 20
+ENTRY_BYTES = 200           # of a table entry besides its characters and ids
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_END_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?= )")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_WORDS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t\n\x0b\x0c\r \x85\xa0"        # \p{L}, \p{N} and \s in Latin-1
+#: The patterns of the two kinds of tokenizer, for Latin-1.
+_BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_WORDS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_WORDS}{_NUMBERS}]+"
+                         rf"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+_LOWERING = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_WORDS}]+|[{_NUMBERS}]|[^{_SPACES}{_WORDS}{_NUMBERS}]+")
+_LOWERING_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_letters() -> list[str]:
@@ -40,7 +53,7 @@ def byte_letters() -> list[str]:
 class Encoder:
     """``bytes_of(text)`` are the text's ids as little-endian ``dtype``."""
 
-    def __init__(self, path: str, limit: int = CACHE_LIMIT, added: bool = False):
+    def __init__(self, path: str, limit: int = CACHE_BYTES, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
         self.tokenizer.encode_special_tokens = True     # in a piece their strings are ordinary text
@@ -50,10 +63,11 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.native = sys.byteorder == "little" and array(self.code).itemsize == self.dtype.itemsize
         self.letters = dict(enumerate(byte_letters()))
-        kind = str(self.tokenizer.pre_tokenizer)
-        self.byte_level = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
-        self.lowering = "Lowercase" in str(self.tokenizer.normalizer) and "ByteLevel" in kind and "Removed" in kind
-        self.marks = {m: self._packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
+        normal, cuts = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
+        byte_level = normal == "None" and cuts.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in cuts
+        self.lowering = ("NFC()" in normal and "Lowercase()" in normal and _LOWERING_PATTERN in cuts.replace("\\\\", "\\") and "Removed" in cuts
+                         and "ByteLevel(add_prefix_space=False" in cuts and "use_regex=False" in cuts)
+        self.cuts = (_BYTE_LEVEL if byte_level else _LOWERING).findall if byte_level or self.lowering else None
         self.table = _Table(self, limit)
         self.added = {t.content: self._packed([i]) for i, t in tokens.items()}
         names = sorted(self.added, key=len, reverse=True)       # leftmost, then longest, as the library matches
@@ -64,32 +78,13 @@ class Encoder:
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if self.native else np.array(ids, self.dtype).tobytes()
 
-    def word(self, word: str, space: bool) -> bytes:
-        """Ids of letters alone, by the model: bytes written as its letters."""
-        raw = (" " + word if space else word) if self.byte_level else word.lower()
-        letters = raw.encode().decode("latin-1").translate(self.letters)
-        return self._packed([t.id for t in self.model.tokenize(letters)])
+    def _library(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, piece: str, space: bool) -> bytes:
-        plain = _PLAIN.fullmatch(piece) if self.byte_level or self.lowering else None
-        if not plain:
-            return self._packed(self.tokenizer.encode((" " if space else "") + piece, add_special_tokens=False).ids)
-        word, end = plain.groups()
-        if not end:
-            return self.word(word, space)
-        return (self.table[word] if space else self.word(word, False)) + self.marks[end]
-
-    @staticmethod
-    def _even(text: str) -> str:
-        """A text with the same ids and fewer distinct pieces, for a
-        tokenizer that lower-cases and drops white space: Latin-1 letters in
-        lower case, a space before a mark that ends a word. (Beyond Latin-1,
-        lower case can depend on the neighbours; such texts stay.)"""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return _END_MARK.sub(r" \1", text.lower())
+    def cut_ids(self, cut: str) -> bytes:
+        """Ids of one cut, by the model: bytes written as its letters."""
+        letters = cut if cut.isascii() and cut.isalpha() else cut.encode().decode("latin-1").translate(self.letters)
+        return self._packed([t.id for t in self.model.tokenize(letters)])
 
     def bytes_of(self, text: str) -> bytes:
         if self.whole:
@@ -103,29 +98,45 @@ class Encoder:
 
     def _bytes_between(self, text: str) -> bytes:
         """Ids of a text in which no added token is looked for."""
-        if not text:
-            return b""
-        if self.lowering:
-            text = self._even(text)
-        pieces = _SAFE_SPACE.split(text) if _WHITE_PAIR.search(text) or text[0].isspace() or text[-1].isspace() else text.split(" ")
-        head = self.piece(pieces[0], False)
-        return head + b"".join(map(self.table.__getitem__, pieces[1:]))
+        if self.cuts is None:
+            return self._library(text)
+        if _latin(text):
+            return self._latin_ids(text)
+        first, *rest = _SAFE_SPACE.split(text)
+        return b"".join([self._piece(first), *(self._piece(" " + x) for x in rest)])
+
+    def _piece(self, piece: str) -> bytes:
+        return self._latin_ids(piece) if _latin(piece) else self._library(piece)
+
+    def _latin_ids(self, text: str) -> bytes:
+        return b"".join(map(self.table.__getitem__, self.cuts(text.lower() if self.lowering else text)))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.bytes_of(text), self.dtype)
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Table(dict):
-    """Ids of pieces that follow a space."""
+    """Ids of cuts."""
 
     def __init__(self, encoder: Encoder, limit: int):
         super().__init__()
-        self.encoder, self.limit = encoder, limit
+        self.encoder, self.left = encoder, limit
 
-    def __missing__(self, piece: str) -> bytes:
-        made = self.encoder.piece(piece, True)
-        if len(self) < self.limit and len(piece) < 64:
-            self[piece] = made
+    def __missing__(self, cut: str) -> bytes:
+        made = self.encoder.cut_ids(cut)
+        if self.left > 0 and len(cut) < 64:
+            self.left -= ENTRY_BYTES + len(cut) + len(made)
+            self[cut] = made
         return made
 
 
@@ -133,7 +144,24 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker process."""
+    """One encoder for each file and worker process; only the last is kept."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path, added=True)
     return _encoders[path]
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, jobs hand texts to Python in batches of at most ``BATCH_ROWS``
+    rows and about ``BATCH_BYTES``: ids take more room than texts, and both
+    sides hold a batch or two."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

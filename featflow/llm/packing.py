@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featflow.llm.encode import encoder
+from featflow.llm.encode import encoder, small_batches
 from featflow.llm.store import written
 
 CAPACITY = 2048
@@ -151,7 +151,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = own.mapInArrow(partial(_pieces, path=tokenizer, end_id=end_id, capacity=capacity, with_ids=with_ids),
                           PIECES + (", ids binary" if with_ids else ""))
-    pieces, _ = written(made, "pieces")
+    with small_batches(spark):
+        pieces, _ = written(made, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     runs = best_fit_runs(counts, capacity)
     if len(runs) > MAX_RUNS:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from featflow.llm.encode import encoder
+from featflow.llm.encode import encoder, small_batches
 
 MAGIC = b"EFT1"
 SELECT_STEP = 256
@@ -176,9 +176,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col:
     """Encode every text, append ``end_id`` and write the records to ``out``."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    (own.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(partial(_write, path=tokenizer, end_id=end_id, record_ids=record_ids), SCHEMA)
-        .write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(out))
+    with small_batches(docs.sparkSession):
+        (own.repartitionByRange(*order).sortWithinPartitions(*order)
+            .mapInArrow(partial(_write, path=tokenizer, end_id=end_id, record_ids=record_ids), SCHEMA)
+            .write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(out))
 
 
 def _read(batches: Iterator[pa.RecordBatch], crc: bool) -> Iterator[pa.RecordBatch]:
