@@ -17,7 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featflow.operators.ranking import prefix_sums
+from featflow.operators.joins import broadcast_if_small
+from featflow.operators.ranking import join_null_safe, prefix_sums
+from featflow.session import ensure_checkpoint_dir
 
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -25,12 +27,19 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str = "score", label:
     return df.groupBy(*by, score).agg(F.sum(y).alias("n_pos"), F.sum(1.0 - y).alias("n_neg"))
 
 
-def auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label",
-        n_buckets: int = 1024) -> DataFrame:
-    """(by..., auc, n_pos, n_neg) per group."""
+def held_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
+    """``score_counts`` written once with a reliable checkpoint: the prefix
+    sums read their input for cuts, totals and rows, and the scored frame
+    (a model's ``transform``, say) is to be computed once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return score_counts(df, by, score, label).checkpoint()
+
+
+def auc_of_counts(counts: DataFrame, by: Sequence[str] = (), score: str = "score", n_buckets: int = 1024) -> DataFrame:
+    """(by..., auc, n_pos, n_neg) from (by..., score, n_pos, n_neg) rows, one
+    for each distinct score of a group."""
     by = list(by)
-    g = score_counts(df, by, score, label)
-    c = prefix_sums(g, by, score, ["n_neg"], n_buckets=n_buckets, inclusive=False)
+    c = prefix_sums(counts, by, score, ["n_neg"], n_buckets=n_buckets, inclusive=False)
     return (c.groupBy(*by).agg(
         F.sum(F.col("n_pos") * (F.col("n_neg_cum") * 2.0 + F.col("n_neg"))).alias("_num"),
         F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
@@ -38,16 +47,23 @@ def auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str
                 F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg")))
 
 
+def auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label",
+        n_buckets: int = 1024) -> DataFrame:
+    """(by..., auc, n_pos, n_neg) per group; ``df`` is read once."""
+    return auc_of_counts(held_counts(df, list(by), score, label), by, score, n_buckets)
+
+
 def roc_curve(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label",
               n_buckets: int = 1024) -> DataFrame:
     """One point per distinct threshold (all points kept):
-    (by..., threshold, fpr, tpr) with tpr / fpr over scores >= threshold."""
+    (by..., threshold, fpr, tpr) with tpr / fpr over scores >= threshold.
+    ``df`` is read once."""
     by = list(by)
-    g = score_counts(df, by, score, label).withColumn("_desc", -F.col(score))
+    g = held_counts(df, by, score, label).withColumn("_desc", -F.col(score))
     c = prefix_sums(g, by, "_desc", ["n_pos", "n_neg"], n_buckets=n_buckets, inclusive=True)
     tot = g.groupBy(*by).agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
     if by:
-        j = c.join(tot, by)
+        j = join_null_safe(c, tot, by)
     else:  # a single totals row: broadcast it on a constant key
         j = c.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), "_one")
     return j.select(*by, F.col(score).alias("threshold"),
@@ -68,8 +84,8 @@ def youden(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def apply_threshold(df: DataFrame, thresholds: DataFrame, by: Sequence[str], score: str = "score",
                     name: str = "pred") -> DataFrame:
     """``score >= threshold`` per group; the threshold table has one row per
-    group (few rows), so it is broadcast."""
-    return df.join(F.broadcast(thresholds.select(*by, "threshold")), list(by)) \
+    group and is broadcast if counted small."""
+    return df.join(broadcast_if_small(thresholds.select(*by, "threshold")), list(by)) \
              .withColumn(name, (F.col(score) >= F.col("threshold")).cast("int"))
 
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 MODULES = ["cleaning", "imputation", "encoding", "scaling", "weighting",
-           "profiling", "sampling", "modeling", "ensembles", "evaluation"]
+           "profiling", "sampling", "modeling", "trees", "ensembles", "evaluation"]
 
 
 def query(name: str, oracle: str | None = None):
