@@ -19,6 +19,7 @@ import math
 import uuid
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -203,11 +204,62 @@ class OneHot(StatEstimator):
     def compute(self, df, conf):
         rows, path = fit_levels(df, conf["cols"], max_levels=conf["max_levels"])
         if path:
-            raise ValueError(f"one-hot over more than {conf['max_levels']} levels; use Ordinal or Target")
+            raise ValueError(f"one-hot over more than {conf['max_levels']} levels; use SparseOneHot")
         return {"levels": {c: sorted(r["value"] for r in rows if r["column"] == c and r["value"] is not None)
                            for c in conf["cols"]}}
 
 
+class SparseOneHotModel(StatModel):
+    """Adds one sparse 0/1 vector a column; ``VectorAssembler`` takes them."""
+
+    def apply(self, df, conf, stats):
+        names = {c: f"_code{i}" for i, c in enumerate(conf["cols"])}
+        own = json.dumps({"cols": list(names.values()), "unknown": -1, "missing": -2, "max_levels": conf["max_levels"]})
+        coded = OrdinalModel(config=own, stats=json.dumps(stats["codes"])).transform(df.withColumns({n: F.col(f"`{c}`") for c, n in names.items()}))
+        # a code past the last one is no level at all: the encoder gives it zeros
+        for c, n in names.items():
+            size = stats["sizes"][c]
+            absent = F.lit(size) if conf["dummy_na"] else F.lit(size + 1)
+            coded = coded.withColumn(n, F.when(F.col(n) == -2, absent).when(F.col(n) == -1, F.lit(size + 1)).otherwise(F.col(n)).cast("double"))
+        widths = [stats["sizes"][c] + conf["dummy_na"] for c in names]
+        some = [(n, c, w) for (c, n), w in zip(names.items(), widths) if w]
+        out = coded
+        if some:
+            largest = df.sparkSession.range(1).select(*[F.lit(float(w - 1)).alias(n) for n, _, w in some])
+            encoder = OneHotEncoder(inputCols=[n for n, *_ in some], outputCols=[f"{c}{conf['suffix']}" for _, c, _ in some],
+                                    dropLast=True, handleInvalid="keep").fit(largest)
+            out = encoder.transform(coded)
+        return out.drop(*names.values())
+
+    def level_table(self) -> DataFrame:
+        """(column, value, code): the place of every level in its vector."""
+        conf, stats = self.conf, self.fitted
+        names = {f"_code{i}": c for i, c in enumerate(conf["cols"])}
+        own = json.dumps({"cols": list(names), "unknown": -1, "missing": -2, "max_levels": conf["max_levels"]})
+        table = OrdinalModel(config=own, stats=json.dumps(stats["codes"])).level_table()
+        column = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("column")]
+        return table.select(column.alias("column"), "value", "code")
+
+
+class SparseOneHot(StatEstimator):
+    """D5/D6 for any number of levels: a sparse vector column ``col + suffix``
+    for each column, as wide as its training levels in code-point order (and a
+    last place for nulls with ``dummy_na``); unseen levels are all zeros. Codes
+    come from ``fit_levels``, so levels past ``max_levels`` are a written table
+    that is joined. Fitting on the union of several frames aligns them (H1)."""
+    model_class = SparseOneHotModel
+
+    def __init__(self, cols: Sequence[str] = (), dummy_na: bool = False, suffix: str = "_vec", max_levels: int = MAX_LEVELS):
+        super().__init__(cols=list(cols), dummy_na=dummy_na, suffix=suffix, max_levels=max_levels)
+
+    def compute(self, df, conf):
+        names = {c: f"_code{i}" for i, c in enumerate(conf["cols"])}
+        copies = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        codes = Ordinal(list(names.values()), unknown=-1, missing=-2, max_levels=conf["max_levels"]).fit(copies)
+        sizes = {r["column"]: r["n"] for r in codes.level_table().groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {"codes": codes.fitted, "sizes": {c: sizes.get(n, 0) for c, n in names.items()}}
+
+
 def sigmoid_blend(n: float, mean: float, prior: float, min_samples_leaf: float, smoothing: float) -> float:
     s = 1.0 / (1.0 + math.exp(-(n - min_samples_leaf) / smoothing))
     return prior * (1 - s) + mean * s

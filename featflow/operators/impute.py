@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from featflow.functions.parse import literal_map
 from featflow.operators.base import StatEstimator, StatModel, ordered_columns
-from featflow.operators.quantiles import quantile_expr
+from featflow.operators.joins import broadcast_if_small
+from featflow.operators.quantiles import MAX_GROUPS, group_quantiles, quantile_expr
+from featflow.operators.stats import write_stats
 
 
 def _stat(c: str, strategy: str, relative_error: float):
@@ -24,15 +26,33 @@ def _stat(c: str, strategy: str, relative_error: float):
         return F.avg(x)
     if strategy == "median":
         return quantile_expr(c, [0.5], relative_error)[0]
-    if strategy == "mode":
-        return F.mode(x, True)  # deterministic: the lowest value among ties
     raise ValueError(strategy)
 
 
+def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> list[DataFrame]:
+    """A table (by..., column, value) for each data type among ``cols``:
+    the most frequent value, the lowest among equals. Values are counted with
+    partial sums first, so no buffer holds a column's distinct values."""
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out = []
+    for names in kinds.values():
+        long = df.select(*by, *[F.col(f"`{c}`") for c in names]).unpivot(list(by), names, "column", "value").where(F.col("value").isNotNull())
+        counts = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+        first = F.min(F.struct((-F.col("n")).alias("n"), "value"))
+        out.append(counts.groupBy(*by, "column").agg(first.alias("m")).select(*by, "column", F.col("m.value").alias("value")))
+    return out
+
+
 class ImputeModel(StatModel):
     def apply(self, df, conf, stats):
         rep = {}
         by = conf.get("by")
+        if stats.get("path"):           # more groups than a literal map should hold
+            table = broadcast_if_small(df.sparkSession.read.parquet(stats["path"]), MAX_GROUPS * 100)
+            out = df.join(table, F.col(f"`{by}`").cast("string") == F.col("_by"), "left")
+            return out.select(*ordered_columns(df, {c: F.coalesce(F.col(f"`{c}`"), F.col(f"_s{i}")) for i, c in enumerate(conf["cols"])}))
         for c in conf["cols"]:
             if by:
                 per = {g: v[c] for g, v in stats["by_group"].items() if v.get(c) is not None}
@@ -59,24 +79,41 @@ class Impute(StatEstimator):
         if st in ("constant", "label"):
             v = conf["value"] if conf["value"] is not None else (0 if st == "constant" else "Unknown")
             return {"values": {c: v for c in cols}}
+        if conf.get("by"):
+            return self._by_group(df, conf)
+        if st == "mode":
+            found = {r["column"]: r["value"] for t in modes(df, cols) for r in t.collect()}         # one row a column
+            return {"values": {c: found.get(c) for c in cols}}
         if st == "median" and not conf["relative_error"]:   # distributed exact median
             from featflow.operators.quantiles import column_quantiles
-            q = column_quantiles(df, cols, [0.5], 0.0, by=conf.get("by"))
-            if conf.get("by"):
-                return {"by_group": {g: {c: v[0] for c, v in per.items()} for g, per in q.items()}}
-            return {"values": {c: v[0] for c, v in q.items()}}
+            q = column_quantiles(df, cols, [0.5], 0.0)
+            return {"values": {c: q[c][0] for c in cols}}
         aggs = [_stat(c, st, conf["relative_error"]).alias(f"s{i}") for i, c in enumerate(cols)]
-        if conf.get("by"):
-            from featflow.operators.quantiles import MAX_GROUPS
-            # one row per group; the statistics become a literal map, so the groups must be few
-            rows = df.groupBy(F.col(conf["by"]).cast("string").alias("_by")).agg(*aggs).limit(MAX_GROUPS + 1).collect()
-            if len(rows) > MAX_GROUPS:
-                raise ValueError(f"Impute(by=...) supports at most {MAX_GROUPS} groups")
-            return {"by_group": {r["_by"]: {c: r[f"s{i}"] for i, c in enumerate(cols)}
-                                 for r in rows if r["_by"] is not None}}
         row = df.agg(*aggs).first()
         return {"values": {c: row[f"s{i}"] for i, c in enumerate(cols)}}
 
+    @staticmethod
+    def _by_group(df, conf):
+        """Statistics of each group: a literal map for up to MAX_GROUPS
+        groups, else a table in the shared folder that is joined."""
+        cols, st = conf["cols"], conf["strategy"]
+        own = df.select(F.col(f"`{conf['by']}`").cast("string").alias("_by"), *[F.col(f"`{c}`") for c in cols]).where("_by is not null")
+        picked = lambda value: [F.max(F.when(F.col("column") == c, value)).alias(f"_s{i}") for i, c in enumerate(cols)]
+        if st == "median" and not conf["relative_error"]:
+            table = group_quantiles(own, cols, [0.5], ["_by"]).groupBy("_by").agg(*picked(F.col("q")[0]))
+        elif st == "mode":
+            table = own.select("_by").distinct()
+            for t in modes(own, cols, ["_by"]):
+                names = {f"_s{i}": c for i, c in enumerate(cols) if t.schema["value"].dataType == own.schema[c].dataType}
+                wide = t.groupBy("_by").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(n) for n, c in names.items()])
+                table = table.join(wide, "_by", "left")
+        else:
+            table = own.groupBy("_by").agg(*[_stat(c, st, conf["relative_error"]).alias(f"_s{i}") for i, c in enumerate(cols)])
+        rows = table.limit(MAX_GROUPS + 1).collect()
+        if len(rows) > MAX_GROUPS:
+            return {"path": write_stats(table)}
+        return {"by_group": {r["_by"]: {c: r[f"_s{i}"] for i, c in enumerate(cols)} for r in rows}}
+
 
 class ClassMeanImputeModel(StatModel):
     def apply(self, df, conf, stats):

@@ -18,8 +18,8 @@ with bounded memory:
      output) and retried; a bracket the sketch missed widens to min..max.
 
 Approximate mode (``relative_error > 0``) is one ``percentile_approx`` job.
-Grouped quantiles (a bounded number of groups) run the same exact algorithm
-with one pseudo-column per (group, column).
+Grouped quantiles (``group_quantiles``) take any number of groups: counts of
+distinct values, placed by prefix sums, and a table as the result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featflow.operators.ranking import join_null_safe, prefix_sums
+from featflow.session import ensure_checkpoint_dir
+
 ACCURACY = 10000
 MAX_COLLECT = 200000
 
@@ -166,34 +169,39 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             out[str(row[by])] = {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                                  for i, c in enumerate(cols)}
         return out
-    return grouped_exact_quantiles(df, cols, probs, [by])
+    out = {}
+    for row in group_quantiles(df, cols, probs, [by]).collect():    # for few groups; ``group_quantiles`` stays a table
+        out.setdefault(str(row[by]), {c: [None] * len(probs) for c in cols})[row["column"]] = list(row["q"])
+    return out
 
 
 MAX_GROUPS = 1000
 
 
-def grouped_exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> dict:
-    """Exact quantiles per group for a bounded number of groups (splits,
-    models, classes): every (group, column) becomes one pseudo-column of the
-    distributed algorithm. Keys: the group value (one ``by`` column) or a
-    tuple of values."""
+def group_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Exact quantiles of any number of groups: (by..., column, n, q), q an
+    array in the order of ``probs`` (linear interpolation; null without
+    values). The columns are unpivoted and reduced to counts of distinct
+    values; two-level prefix sums place every value in its group without a
+    task that holds a group, and the values at the wanted ranks are picked by
+    one aggregate that combines before its shuffle. Nulls and NaN are left out."""
     by = list(by)
-    groups = [tuple(r) for r in df.select(*by).distinct().limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: use relative_error > 0")
-    pseudo, names = [], {}
-    for gi, g in enumerate(groups):
-        cond = None
-        for b, v in zip(by, g):
-            e = F.col(b).isNull() if v is None else (F.col(b) == F.lit(v))
-            cond = e if cond is None else cond & e
-        for ci, c in enumerate(cols):
-            nm = f"_g{gi}_c{ci}"
-            pseudo.append(F.when(cond, F.col(f"`{c}`").cast("double")).alias(nm))
-            names[nm] = (g, c)
-    q = exact_quantiles(df.select(*pseudo), list(names), probs) if names else {}
-    out = {}
-    for nm, (g, c) in names.items():
-        key = str(g[0]) if len(by) == 1 else g
-        out.setdefault(key, {})[c] = q[nm]
-    return out
+    ensure_checkpoint_dir(df.sparkSession)
+    own = [F.col(f"`{b}`").alias(f"_by{i}") for i, b in enumerate(by)]
+    keys = [f"_by{i}" for i in range(len(by))] + ["column"]
+    long = df.select(*own, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(keys[:-1], list(cols), "column", "x")
+    counts = long.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    placed = prefix_sums(counts, keys, "x", ["n"])
+    ranked = join_null_safe(placed, counts.groupBy(*keys).agg(F.sum("n").alias("_total")), keys)
+    picked, frac = [], []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        low = F.floor(at)
+        high = F.least(low + 1, F.col("_total") - 1)
+        for name, k in ((f"a{i}", low), (f"b{i}", high)):
+            picked.append(F.max(F.when((F.col("n_cum") <= k) & (k < F.col("n_cum") + F.col("n")), F.col("x"))).alias(name))
+        frac.append(F.max(at - low).alias(f"f{i}"))
+    values = [F.when(F.col(f"f{i}") == 0, F.col(f"a{i}")).otherwise(F.col(f"a{i}") + F.col(f"f{i}") * (F.col(f"b{i}") - F.col(f"a{i}")))
+              for i in range(len(probs))]
+    found = ranked.groupBy(*keys).agg(*picked, *frac, F.max("_total").alias("n"))
+    return found.select(*[F.col(f"_by{i}").alias(b) for i, b in enumerate(by)], "column", "n", F.array(*values).alias("q"))

@@ -6,12 +6,25 @@ per-column statistic over many columns is a single grouped aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featflow.functions.parse import round6
+from featflow.session import ensure_checkpoint_dir
+
+
+def write_stats(table: DataFrame) -> str:
+    """``table`` as Parquet in the shared checkpoint folder; the path."""
+    path = f"{ensure_checkpoint_dir(table.sparkSession).rstrip('/')}/featflow-stats-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return path
 
 
 def rate_by_group(df: DataFrame, by: str | Sequence[str], label: str = "label") -> DataFrame:
@@ -68,21 +81,83 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
                       F.lit(len(df.columns)).cast("bigint").alias("n_columns")))
 
 
-def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """the full correlation matrix in long form (a, b, corr) in one scan:
-    each row is expanded to one (a, b, xa, xb) row per column pair (narrow)
-    and aggregated per pair; the mirror half is copied from the small result."""
+def _gram(batches: Iterator[pa.RecordBatch], width: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Sums over the partition for every pair of column blocks: rows where
+    both are present, and there the sums of x, x^2 and x * y."""
+    starts = range(0, width, block)
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        col = batch.column("x")
+        if not len(col):
+            continue
+        flat = col.flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        m = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+        x = np.where(m > 0, x, 0.0)
+        sq = x * x
+        for i in starts:
+            a = slice(i, i + block)
+            for j in starts:
+                b = slice(j, j + block)
+                part = np.stack([m[:, a].T @ m[:, b], x[:, a].T @ m[:, b], sq[:, a].T @ m[:, b], x[:, a].T @ x[:, b]])
+                sums[i, j] = sums[i, j] + part if (i, j) in sums else part
+    keys = sorted(sums)
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keys], pa.int32()), pa.array([j for _, j in keys], pa.int32()),
+                                      pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["i", "j", "sums"])
+
+
+def _correlations(batches: Iterator[pa.RecordBatch], cols: list[str], block: int) -> Iterator[pa.RecordBatch]:
+    """Block sums as (a, b, corr) rows; rows of the mirrored blocks arrive
+    under the same unordered pair of blocks."""
+    def size(i: int) -> int:
+        return min(block, len(cols) - i)
+
+    def rows(key: tuple, total: dict) -> pa.RecordBatch:
+        i, j = key
+        n, sa, qa, xy = total[i, j].reshape(4, size(i), size(j))
+        _, sb, qb, _ = total[j, i].reshape(4, size(j), size(i))
+        sb, qb = sb.T, qb.T
+        with np.errstate(all="ignore"):
+            va, vb = qa / n - (sa / n) ** 2, qb / n - (sb / n) ** 2
+            flat = (va <= 1e-14 * qa / n) | (vb <= 1e-14 * qb / n)
+            corr = (xy / n - sa / n * (sb / n)) / np.sqrt(va * vb)
+        out = []
+        for r in range(size(i)):
+            for c in range(size(j)):
+                value = None if not n[r, c] or flat[r, c] else float(corr[r, c])
+                out.append((cols[i + r], cols[j + c], value))
+                if i != j:
+                    out.append((cols[j + c], cols[i + r], value))
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()),
+                                           pa.array([o[2] for o in out], pa.float64())], names=["a", "b", "corr"])
+
+    key, total = None, {}
+    for batch in batches:
+        for i, j, raw in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "sums"))):
+            if (min(i, j), max(i, j)) != key:
+                if key is not None:
+                    yield rows(key, total)
+                key, total = (min(i, j), max(i, j)), {}
+            got = np.frombuffer(raw)
+            total[i, j] = total[i, j] + got if (i, j) in total else got
+    if key is not None:
+        yield rows(key, total)
+
+
+def corr_long(df: DataFrame, cols: Sequence[str], block: int = 128) -> DataFrame:
+    """the full correlation matrix in long form (a, b, corr), each pair
+    over the rows where both are present; null for a pair without variance.
+    Rows are read twice, for a shift of every column (its mean, or its only
+    value) and for the Gram matrix: every partition adds up blocks of
+    ``block`` x ``block`` outer products and presence masks, the blocks are
+    added up by pair of blocks, and no row is copied."""
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    ex = d.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("xa"),
-                                               F.col(b).alias("xb")) for a, b in pairs])).alias("p")).select("p.*")
-    xa, xb = F.col("xa"), F.col("xb")
-    half = ex.groupBy("a", "b").agg(F.try_divide(
-        F.covar_pop(xa, xb), F.stddev_pop(F.when(xb.isNotNull(), xa)) * F.stddev_pop(F.when(xa.isNotNull(), xb))
-    ).alias("corr"))
-    mirror = half.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    return half.unionByName(mirror)
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    stats = df.agg(*[F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.avg(v)).alias(f"s{k}") for k, v in enumerate(x)]).first()
+    shifted = [v - F.lit(stats[f"s{k}"] if stats[f"s{k}"] is not None and math.isfinite(stats[f"s{k}"]) else 0.0) for k, v in enumerate(x)]
+    sums = df.select(F.array(*shifted).alias("x")).mapInArrow(partial(_gram, width=len(cols), block=block), "i int, j int, sums binary")
+    lead = [F.least("i", "j"), F.greatest("i", "j")]
+    return sums.repartition(*lead).sortWithinPartitions(*lead, "i").mapInArrow(partial(_correlations, cols=cols, block=block), "a string, b string, corr double")
 
 
 def target_corr(df: DataFrame, cols: Sequence[str], label: str = "label", fill: float | None = 0.0) -> DataFrame:
@@ -143,8 +218,8 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), relativ
     """count, mean, sample sd, min, quartiles (linear interpolation), max
     of every column. Moments: ONE scan over the unpivoted (column, x) rows
     aggregated per (group, column); quartiles: the distributed exact
-    algorithm (bounded groups) or ``percentile_approx``."""
-    from featflow.operators.quantiles import grouped_exact_quantiles, quantile_expr
+    algorithm for any number of groups, or ``percentile_approx``."""
+    from featflow.operators.quantiles import group_quantiles, quantile_expr
     by = list(by)
     long = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]) \
              .unpivot(by, list(cols), "column", "x")
@@ -155,11 +230,10 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), relativ
         agg = long.groupBy(*by, "column").agg(*moments, quantile_expr("x", [0.25, 0.5, 0.75], relative_error).alias("_q"))
         return agg.select(*by, "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
                           F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
-    q = grouped_exact_quantiles(long, ["x"], [0.25, 0.5, 0.75], by + ["column"])   # bounded groups x columns
-    rows = [(*(k if isinstance(k, tuple) else (k,)), *v["x"]) for k, v in q.items()]
-    key_types = {f.name: f.dataType.simpleString() for f in long.schema.fields}
-    schema = ", ".join(f"`{b}` {key_types[b]}" for b in by + ["column"]) + ", p25 double, p50 double, p75 double"
-    qdf = df.sparkSession.createDataFrame(rows, schema)
+    q = group_quantiles(long.withColumnRenamed("column", "_of"), ["x"], [0.25, 0.5, 0.75], by + ["_of"])
+    q = q.select(*by, F.col("_of").alias("column"), F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"))
     agg = long.groupBy(*by, "column").agg(*moments)
-    return agg.join(F.broadcast(qdf), by + ["column"]).select(   # qdf: one row per (group, column)
-        *by, "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    keys = by + ["column"]
+    q = q.select(*[F.col(f"`{k}`").alias(f"_q{i}") for i, k in enumerate(keys)], "p25", "p50", "p75")
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_q{i}")) for i, k in enumerate(keys)]
+    return agg.join(q, same, "left").select(*by, "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from featflow.functions.parse import round6
@@ -160,3 +162,24 @@ def submission(spark, sf_dir):
     pos = prefix_sums(p, [], "case_id", ["_one"], inclusive=False)
     return pos.select(F.format_string("TEST_%05d", F.col("_one_cum")).alias("ID"), "case_id",
                       round6("p").alias("probability"))
+
+
+@query("template_fill", with_cases(f"""
+SELECT printf('TEST_%05d', row_number() OVER (ORDER BY case_id) - 1) AS ID, case_id, {r6('p')} AS probability FROM (
+  SELECT c.case_id, avg(s.score) AS p FROM cases c JOIN scores s USING (case_id) WHERE c.split = 'test' GROUP BY c.case_id)""",
+    scores=True))
+def template_fill(spark, sf_dir):
+    """A submission template with ids and empty scores is read from a
+    CSV file in the shared folder, and the scores are filled in by key. The
+    file holds the held-out keys, as the template beside a test file does."""
+    from featflow.session import ensure_checkpoint_dir
+    from featflow.sources.files import fill_template, read_csv, write_csv
+    sc = scores(spark, sf_dir)
+    test = cases(spark, sf_dir).where(F.col("split") == "test").select("case_id").withColumn("_one", F.lit(1))
+    pos = prefix_sums(test, [], "case_id", ["_one"], inclusive=False)
+    rows = pos.select(F.format_string("TEST_%05d", F.col("_one_cum")).alias("ID"), "case_id", F.lit(0.0).alias("probability"))
+    path = f"{ensure_checkpoint_dir(spark)}/template-{uuid.uuid4().hex}"
+    write_csv(rows, path, encoding="utf-8-sig")
+    template = read_csv(spark, path, "ID string, case_id long, probability double", encoding="utf-8-sig")
+    p = sc.groupBy("case_id").agg(round6(F.avg("score")).alias("probability"))
+    return fill_template(template, p, "case_id")

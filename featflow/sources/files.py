@@ -9,11 +9,14 @@ A UTF-8 byte-order mark is stripped by the reader.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BOM = "\ufeff"
 _STANDARD = {"utf-8", "utf8", "utf-8-sig", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be"}
 
 
@@ -35,10 +38,43 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding
     return df
 
 
+def _with_head(batches: Iterator[pa.RecordBatch], head: str) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], names=["value"])
+    yield from batches
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite",
               encoding: str = "UTF-8") -> None:
-    """A directory of CSV part files (no index column)."""
-    df.write.mode(mode).option("header", header).option("encoding", encoding).csv(path)
+    """A directory of CSV part files (no index column). ``utf-8-sig``
+    begins every part with a byte-order mark: rows are made to CSV lines, each
+    partition gets its head line first, and Spark's text writer writes and
+    commits them, so a failed job leaves nothing behind. A legacy Java charset
+    such as EUC-KR sets ``spark.sql.legacy.javaCharsets``."""
+    if encoding.lower() != "utf-8-sig":
+        if encoding.lower() not in _STANDARD:
+            df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+        df.write.mode(mode).option("header", header).option("encoding", encoding).csv(path)
+        return
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    spark = df.sparkSession
+    names = spark.createDataFrame([tuple(df.columns)], [f"c{i}" for i in range(len(df.columns))])
+    head = names.select(F.to_csv(F.struct("*")).alias("v")).first()["v"] if header else None
+    lines = df.select(F.to_csv(row).alias("value"))
+    if not header:          # the mark stands before the first row of a partition
+        lines = lines.mapInArrow(_marked, "value string")
+    else:
+        lines = lines.mapInArrow(partial(_with_head, head=f"{BOM}{head}"), "value string")
+    lines.write.mode(mode).text(path)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = True
+    for batch in batches:
+        if first and batch.num_rows:
+            values = batch.column("value").to_pylist()
+            values[0] = BOM + values[0]
+            batch, first = pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"]), False
+        yield batch
 
 
 def template_for(test_path: str) -> str:
