@@ -1,24 +1,34 @@
 """Operator 8: main text of pages by consensus host paths.
 
-Score. Each page's containers (article, main, section, div, td, ...) get the
+Score. Each page's containers (article, main, section, div, ...) get the
 length of the text they hold outside links and boilerplate; the parent and
 grandparent get a half and a quarter. A container is named by its generalised
-path: tags from the root with their classes, digits dropped. A page votes for
-its best path.
+path: tags from the root with their classes, digits dropped. From its best
+container a page climbs to the parent while the parent's other text stands
+mostly outside links (to the body only for text of some weight, never out of
+an article or main element), and votes for the path it comes to.
 
 Vote. Votes are added up by (host, path) in Spark, combined before the
 shuffle, and every host's path with most votes wins.
 
 Re-extract. Each page is read again with its host's winning path and gives the
-blocks inside the containers of that path; a page that has no such container
-uses its own best one. The table of winners (a row for each host) is broadcast
-only if counted below ``BROADCAST_HOSTS``; beyond that Spark joins it, and may
-split a host that holds a large share of the pages.
+blocks inside the containers of that path; a page that has no such container,
+or none with text, uses its own. The table of winners (a row for each host) is
+broadcast only if counted below ``BROADCAST_HOSTS``; beyond that Spark joins
+it, and may split a host that holds a large share of the pages.
+
+Boilerplate. Scripts, styles, navigation, page headers and footers, asides and
+form controls never count nor appear. A class, id or role with a word of NOISE
+and a form are a mark on their element, judged when the page is read whole: a
+mark of layout (sidebar, header, form, ...) is ignored where the element holds
+an article or main element or most of the page's text outside links, one of
+adverts, notices or comments only where it holds nearly all of the text and an
+article or main element. Names such as "no-sidebar" or "entry-header" are no
+marks. A page that the marks leave without text is read without them.
 
-Scripts, styles, forms, navigation, headers and footers outside the article,
-sidebars, notices, adverts and reader comments never count nor appear.
 Character references are decoded once, white space inside a block becomes one
-space, blocks are joined by one space in page order; nothing is capped.
+space, blocks are joined by one space in page order; nothing is capped. Boxes
+are numbered and paths interned, so memory is linear in the page.
 
 Edge cases: null or empty html, or html without text, gives an empty text; a
 page without any container is read as a whole; a null or odd url belongs to
@@ -40,19 +50,26 @@ from featflow.llm.store import written
 
 BROADCAST_HOSTS = 100_000
 
-CONTAINERS = frozenset("article main section div td body center blockquote".split())
+#: Elements that may be the main container; others that hold text (quotations, table cells) belong to theirs.
+CONTAINERS = frozenset("article main section div body center".split())
 SEMANTIC = {"article": 3.0, "main": 2.0}
+BODY_SHARE = 0.25           # of a container's text that the body must hold beside it to be climbed to
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
                    "sub sup time tt u var wbr".split())
 #: Elements whose content is never main text.
-DROPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title nav aside footer form button "
-                    "select option textarea fieldset dialog menu".split())
-#: Words of a class or id that mark boilerplate.
-NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-                  "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification "
-                  "overlay pager pagination popup promo promoted promotion recommended related respond search share sharing sidebar signup social "
-                  "sponsor sponsored subscribe subscription toolbar widget widgets".split())
+DROPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title nav aside footer button "
+                    "select option textarea dialog menu".split())
+#: Elements marked like a layout word.
+MARKED = frozenset("form fieldset".split())
+#: Words of a class, id or role that mark boilerplate: parts of a layout, and what never belongs to an article.
+LAYOUT = frozenset("banner breadcrumb breadcrumbs footer header login masthead menu modal nav navbar navigation overlay pager pagination popup "
+                   "search share sharing sidebar signup social toolbar widget widgets".split())
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disclaimer disqus gdpr newsletter "
+                    "notice notices notification promo promoted promotion recommended related respond sponsor sponsored subscribe "
+                    "subscription".split())
+#: A name that begins so tells what a page has, or which part of an article it is.
+NO_MARK = re.compile(r"(?:has|no|not|with|without|hide|hides|show|shows|is|js|entry|post|article|story|content|page)[-_]")
 #: Elements that the start of another one closes.
 CLOSES_P = frozenset("address article aside blockquote center div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
                      "section table ul".split())
@@ -67,35 +84,57 @@ WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"[0-9]+")
 
 
-def named(attributes: str) -> tuple[str, bool]:
-    """Generalised class of a tag ('' without one), and whether its class,
-    id or role marks boilerplate."""
+def named(attributes: str) -> tuple[str, int]:
+    """Generalised class of a tag ('' without one), and its mark: 0 none, 1
+    layout, 2 foreign to any article."""
     if "=" not in attributes:
-        return "", False
-    label, noise = "", False
+        return "", 0
+    label, mark = "", 0
     for m in NAMES.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         key = m[1].lower()
         if key == "class":
-            label = ".".join(sorted({DIGITS.sub("", x) for x in value.split()}))
-        if key != "hidden" and not NOISE.isdisjoint(WORDS.findall(value)):
-            noise = True
-    return label, noise
+            label = ".".join(sorted({DIGITS.sub("", x) for x in value.replace(">", "").split()}))
+        if key != "hidden":
+            for name in value.split():
+                words = WORDS.findall(name)
+                if not FOREIGN.isdisjoint(words):
+                    mark = 2
+                elif not mark and not LAYOUT.isdisjoint(words) and not NO_MARK.match(name):
+                    mark = 1
+    return label, mark
 
 
 class Page:
-    """One reading of a page: ``blocks`` as (container number, text), with
-    the path, parent and score of every container."""
+    """One reading of a page. Boxes are numbered in page order, 0 the page;
+    each has its parent, its tag, the number of its path (0 for a box that
+    takes no part in votes) and its mark. ``blocks`` are (box, text, length
+    inside links)."""
 
     def __init__(self, source: str):
-        self.paths: list[str] = [""]
-        self.parents: list[int] = [-1]
-        self.scores: list[float] = [0.0]
-        self.blocks: list[tuple[int, str]] = []
+        self.parents, self.tags, self.path_of, self.marks = [-1], [""], [0], [0]
+        self.names: dict[tuple[int, str], int] = {}             # (path, step) -> path
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
+        self._judge()
+
+    def _box(self, parent: int, tag: str, path: int, mark: int) -> int:
+        self.parents.append(parent)
+        self.tags.append(tag)
+        self.path_of.append(path)
+        self.marks.append(mark)
+        return len(self.parents) - 1
+
+    def _path(self, path: int, step: str) -> int:
+        found = self.names.get((path, step))
+        if found is None:
+            found = self.names[path, step] = len(self.steps)
+            self.steps.append((path, step))
+        return found
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, str]] = [("", 0, False, "")]      # tag, container, dropped, path
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]      # tag, box, dropped, path
         held: list[str] = []
         links, linked, at = 0, 0, 0
         open_tags: dict[str, int] = {}
@@ -112,14 +151,7 @@ class Page:
             if held:
                 joined = " ".join(html.unescape("".join(held)).split())
                 if joined:
-                    owner = stack[-1][1]
-                    self.blocks.append((owner, joined))
-                    gain = max(0, len(joined) - 2 * linked)
-                    for share in (1.0, 0.5, 0.25):
-                        if owner < 0:
-                            break
-                        self.scores[owner] += gain * share
-                        owner = self.parents[owner]
+                    self.blocks.append((stack[-1][1], joined, min(linked, len(joined))))
                 held.clear()
             linked = 0
 
@@ -161,50 +193,139 @@ class Page:
                     close(tag)
             if tag in VOID or m[5].endswith("/>") and tag not in CONTAINERS:
                 continue
-            _, owner, dropped, path = stack[-1]
-            label, noise = named(m[5])
-            dropped = dropped or tag in DROPPED or noise and tag not in ("body", "html", "article", "main") or tag == "header" and not open_tags.get("article")
+            _, box, dropped, path = stack[-1]
+            label, mark = named(m[5])
+            if tag in ("body", "html", "article", "main"):
+                mark = 0
+            elif tag in MARKED:
+                mark = max(mark, 1)
+            dropped = dropped or tag in DROPPED or tag == "header" and not open_tags.get("article") or bool(mark) and tag in INLINE
             open_tags[tag] = open_tags.get(tag, 0) + 1
             links = open_tags.get("a", 0)
-            if tag in CONTAINERS and not dropped:
-                path = f"{path}>{tag}.{label}" if label and tag != "body" else f"{path}>{tag}"     # a body's classes name the page
-                self.paths.append(path)
-                self.parents.append(owner)
-                self.scores.append(0.0)
-                owner = len(self.paths) - 1
-            stack.append((tag, owner, dropped, path))
+            if not dropped and (tag in CONTAINERS or mark):
+                if tag in CONTAINERS:
+                    path = self._path(path, f"{tag}.{label}" if label and tag != "body" else tag)     # a body's classes name the page
+                box = self._box(box, tag, path if tag in CONTAINERS else 0, mark)
+            stack.append((tag, box, dropped, path))
         if at < len(source):
             text(source[at:])
         flush()
 
-    def votes(self) -> dict[str, float]:
-        total: dict[str, float] = {}
-        for path, score in zip(self.paths, self.scores):
-            if score > 0:
-                last = path.rpartition(">")[2].partition(".")[0]
-                total[path] = total.get(path, 0.0) + score * SEMANTIC.get(last, 1.0)
+    def _judge(self) -> None:
+        """Which boxes are boilerplate, and each box's text left outside and inside links."""
+        n = len(self.parents)
+        plain, every, semantic = [0] * n, [0] * n, [False] * n
+        foreign = [False] * n
+        for b in range(1, n):
+            foreign[b] = self.marks[b] == 2 or foreign[self.parents[b]]
+        for b, t, linked in self.blocks:
+            size = max(0, len(t) - 2 * linked)
+            every[b] += size
+            if not foreign[b]:
+                plain[b] += size
+        for b in range(n - 1, 0, -1):
+            up = self.parents[b]
+            plain[up] += plain[b]
+            every[up] += every[b]
+            semantic[up] = semantic[up] or semantic[b] or self.tags[b] in SEMANTIC
+        noise = [False] * n
+        for b in range(1, n):
+            bad = self.marks[b] == 1 and not (semantic[b] or 2 * plain[b] > plain[0])
+            bad = bad or self.marks[b] == 2 and not (semantic[b] and 10 * every[b] >= 9 * every[0])
+            noise[b] = bad or noise[self.parents[b]]
+        if all(noise[b] for b, *_ in self.blocks):
+            noise = [False] * n
+        self.noise = noise
+        self.outside, self.linked = [0] * n, [0] * n
+        for b, t, linked in self.blocks:
+            if not noise[b]:
+                self.outside[b] += len(t) - linked
+                self.linked[b] += linked
+        for b in range(n - 1, 0, -1):
+            self.outside[self.parents[b]] += self.outside[b]
+            self.linked[self.parents[b]] += self.linked[b]
+
+    def _above(self, box: int) -> int:
+        """The nearest container around a box, 0 without one."""
+        box = self.parents[box]
+        while box > 0 and not self.path_of[box]:
+            box = self.parents[box]
+        return max(box, 0)
+
+    def votes(self) -> dict[int, float]:
+        """Score by path number."""
+        score: dict[int, float] = {}
+        for b, t, linked in self.blocks:
+            gain = max(0, len(t) - 2 * linked)
+            if self.noise[b] or not gain:
+                continue
+            owner = b if self.path_of[b] else self._above(b)
+            for share in (1.0, 0.5, 0.25):
+                if not owner:
+                    break
+                score[owner] = score.get(owner, 0.0) + gain * share
+                owner = self._above(owner)
+        total: dict[int, float] = {}
+        for b, s in score.items():
+            total[self.path_of[b]] = total.get(self.path_of[b], 0.0) + s * SEMANTIC.get(self.tags[b], 1.0)
         return total
 
-    def best(self) -> str:
-        votes = self.votes()
-        return min(votes, key=lambda p: (-votes[p], len(p), p)) if votes else ""
+    def named_path(self, path: int) -> str:
+        steps = []
+        while path > 0:
+            path, step = self.steps[path]
+            steps.append(step)
+        return ">".join(reversed(steps))
 
-    def inside(self, path: str) -> str:
-        """Blocks inside the containers named ``path``, in page order."""
-        chosen = [p == path for p in self.paths]
-        for i in range(1, len(chosen)):
-            chosen[i] = chosen[i] or chosen[self.parents[i]]
-        return " ".join(t for owner, t in self.blocks if chosen[owner])
+    def best(self) -> int:
+        """The number of the path that the page votes for, 0 without one."""
+        votes = self.votes()
+        if not votes:
+            return 0
+        top = max(votes.values())
+        path = min((p for p, v in votes.items() if v == top), key=lambda p: (len(self.named_path(p)), self.named_path(p)))
+        box = max((b for b in range(len(self.parents)) if self.path_of[b] == path), key=lambda b: (self.outside[b], -b))
+        while self.tags[box] not in SEMANTIC and self.tags[box] != "body":
+            up = self._above(box)
+            if not up:
+                break
+            beside, links = self.outside[up] - self.outside[box], self.linked[up] - self.linked[box]
+            if beside <= links or self.tags[up] == "body" and beside < BODY_SHARE * self.outside[box]:
+                break
+            box = up
+        return self.path_of[box]
+
+    def number_of(self, name: str) -> int | None:
+        """The number of a named path, None where the page has none such."""
+        path = 0
+        for step in name.split(">") if name else ():
+            path = self.names.get((path, step), -1)
+            if path < 0:
+                return None
+        return path
+
+    def inside(self, path: int) -> str:
+        """Blocks inside the containers of a path, in page order; of 0 all."""
+        chosen = [not path] * len(self.parents)
+        for b in range(1, len(chosen)):
+            chosen[b] = self.path_of[b] == path or chosen[self.parents[b]]
+        return " ".join(t for b, t, _ in self.blocks if chosen[b] and not self.noise[b])
 
 
 def extract(source: str, winner: str | None) -> str:
     page = Page(source)
-    return page.inside(winner if winner is not None and winner in page.paths else page.best())
+    path = page.number_of(winner) if winner else None
+    return page.inside(path) if path and page.inside(path) else page.inside(page.best())
+
+
+def voted(source: str) -> str:
+    page = Page(source)
+    return page.named_path(page.best())
 
 
 def _best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [Page(h).best() if h else "" for h in (x.as_py() for x in batch.column("html"))]
+        paths = [voted(h) if h else "" for h in (x.as_py() for x in batch.column("html"))]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
 
 

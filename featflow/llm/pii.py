@@ -4,26 +4,31 @@ DataFrame functions only. The four base kinds (email, ip, card, phone) are
 found by regular expressions and checked; they always stay. High-recall
 generators then propose further spans, overlapping or not: long tokens that
 mix letters and digits (``secret``) and grouped numbers (``number``). Each
-candidate is a cell of discrete format and context features. Candidates that a
-word such as "token =" or "iban" announces are the positives of distant
-supervision and are selected by that evidence alone, whatever their cell; the
-announcing word itself is no feature, so the trees learn what announced values
-look like and find unannounced ones too.
-
-One aggregate counts candidates by (cell, label, fold): its rows are bounded
-by the number of cells (CELLS), not by the corpus, so boosting, calibration
-(isotonic, on the fold held out) and the threshold work on that table. A cell
-is selected, unannounced values included, when its calibrated precision reaches
-``PRECISION``; every unannounced candidate counts as a negative there, so a
-format that is mostly unannounced adds its announced values only. Without
-announced values nothing is added. Spans that touch a base span are dropped,
-then the better of two touching candidates stays.
-
-Regular expressions never go back over a run of characters twice: runs are
-matched possessively and only from their start (or from the end of the last
-match), which finds what the plain expressions find and needs linear time and
-constant stack on texts of any length. Positions come from the pieces between
-matches; they count code points, end exclusive.
+candidate is a cell of discrete features: its format, the character before it,
+whether its format is a plain one (date, version, decimal, ...), and the class
+of the word before it: one that announces a value ("token =", "iban"), one that
+names something harmless ("commit", "order no"), or another.
+
+Labels. No candidate of a corpus is labelled, so labels come from evidence and
+are corrected for the rest (positive-unlabelled learning): an announced value
+is a positive, one after a harmless word or of a plain format is a negative,
+whatever stands before it. Any other is a positive by the share of positives
+among the labelled values of its format, in which the unlabelled ones count
+weakly as negatives (``UNLABELLED``): a format that is only ever announced keeps
+its unannounced values as positives, one that commits share does not.
+
+One aggregate counts candidates by (cell, fold): its rows are bounded by the
+number of cells (CELLS), not by the corpus, so boosting, calibration (isotonic,
+on the fold held out) and the threshold work on that table. A cell is selected
+when its calibrated precision reaches ``PRECISION``; without trees, or without
+announced values, nothing is added. Selected spans that touch a base span are
+dropped; of touching ones a sweep in text order keeps the better.
+
+Every pass over a text or its matches is linear. Regular expressions never go
+back over a run of characters twice: runs are matched possessively and only
+from their start (or from the end of the last match). Positions, overlaps and
+redaction are running scans over arrays, in chunks of ``CHUNK`` so that no step
+copies what came before. Positions count code points, end exclusive.
 
 Edge cases: a null or empty text has no spans; ids may be null or repeat, each
 row has its own row; extra columns are kept by ``redact`` and ignored by
@@ -56,14 +61,55 @@ ANNOUNCED = {
     "number": r"(?i)(?<![a-z])(?:ssn|iban|passport|account|acct|social security|tel|phone|fax|dob)(?: no| number)?\.?\s?[=:#]?\s?$",
     "secret": r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?$",
 }
+#: Words before a value that names something harmless.
+HARMLESS = (r"(?i)(?<![a-z])(?:commit|sha|sha1|sha256|md5|checksum|digest|hash|revision|rev|version|ver|build|release|order|invoice|isbn|issn|doi|"
+            r"page|pages|figure|fig|chapter|section|line|row|table|item|issue|ticket)(?: no| number| id)?\.?\s?[=:#]?\s?[\"']?$")
+#: Formats that say what a value is: dates, years, times, versions and decimals; identifiers of one case joined by marks.
+PLAIN = {
+    "number": r"^(?:(?:19|20)[0-9]{2}[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-/.](?:0?[1-9]|1[0-2])"
+              r"[-/.](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-(?:19|20)[0-9]{2}|[0-9]{1,3}(?:\.[0-9]{1,3}){1,2}|[0-9]+\.[0-9]+|[0-9]{1,2}-[0-9]{1,2})$",
+    "secret": r"^(?:[A-Z]{3,}|[a-z]{3,}|[0-9]{1,9})(?:[_-](?:[A-Z]{3,}|[a-z]{3,}|[0-9]{1,9}))+$",
+}
 CONTEXT = 32
-FEATURES = (("kind", 2), ("length", 8), ("hex", 2), ("case", 3), ("digits", 4), ("before", 4), ("groups", 4))
+FEATURES = (("kind", 2), ("length", 8), ("hex", 2), ("case", 3), ("digits", 4), ("before", 4), ("groups", 4), ("plain", 2), ("word", 3))
 CELLS = math.prod(n for _, n in FEATURES)
+CONTEXTS = FEATURES[-1][1]          # the word is the last digit of a cell
+OTHER, ANNOUNCING, NAMING = range(CONTEXTS)
 FOLDS = 5
-ROUNDS, RATE = 40, 0.3
+ROUNDS, RATE, DEPTH = 60, 0.3, 3
 PRECISION = 0.95
-SPAN = "array<struct<s:int,e:int>>"
-CANDIDATE = "array<struct<s:int,e:int,cell:int,label:int>>"
+UNLABELLED, HIDDEN = 0.05, 0.5
+CHUNK = 256
+SPAN = "struct<s:int,e:int>"
+CANDIDATE = "struct<s:int,e:int,cell:int>"
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan(items: Column, start: Column, kind: str, step) -> Column:
+    """struct(state, out): a running state over an array and the values that
+    ``step(state, item)`` -> (state, value, whether to keep it) gives. Values
+    are gathered in chunks, so nothing grows inside the inner loop."""
+    none, nothing = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def inner(acc: Column, x: Column) -> Column:
+        state, value, keep = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.when(keep, F.array_append(acc["out"], value)).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, chunk: Column) -> Column:
+        one = F.aggregate(chunk, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return once(one, lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def whole(own: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(own) - 1, F.lit(0)) / CHUNK).cast("int")),
+                             lambda c: F.slice(own, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.aggregate(chunks, F.struct(start.alias("state"), nothing.alias("out")), outer,
+                           lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+
+    return once(items, whole)
 
 
 def _valid(kind: str, hit: Column) -> Column:
@@ -84,6 +130,7 @@ def _cell(kind: str, hit: Column, before: Column) -> Column:
     """The candidate's cell: its features as digits of a mixed-radix number."""
     size = F.length(hit)
     digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
+    context = F.substring(before, -CONTEXT, CONTEXT)
     last = F.substring(before, -1, 1)
     values = {
         "kind": F.lit(list(GENERATORS).index(kind)), "length": F.least(size / 8, F.lit(7)).cast("int"),
@@ -91,6 +138,8 @@ def _cell(kind: str, hit: Column, before: Column) -> Column:
         "digits": F.least(F.floor(digits * 4 / size), F.lit(3)).cast("int"),
         "before": F.when(last.isin('"', "'"), 1).when(last.isin("=", ":"), 2).when(last.rlike(r"\S"), 3).otherwise(0),
         "groups": F.least(size - F.length(F.regexp_replace(hit, "[ ./-]", "")), F.lit(3)).cast("int"),
+        "plain": hit.rlike(PLAIN[kind]).cast("int"),
+        "word": F.when(context.rlike(ANNOUNCED[kind]), ANNOUNCING).when(context.rlike(HARMLESS), NAMING).otherwise(OTHER),
     }
     code = F.lit(0)
     for name, radix in FEATURES:
@@ -106,24 +155,21 @@ def features_of(cell: int) -> tuple[int, ...]:
     return tuple(reversed(out))
 
 
-def _found(text: Column, kind: str, pattern: str, kind_type: str, row) -> Column:
+def _found(text: Column, kind: str, pattern: str, row_type: str, row) -> Column:
     """Array of row(start, end, hit, piece before) of the checked matches.
     Pieces and matches go in as one zipped argument, so each expression runs
     once a text."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"))
-    start = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {kind_type})").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(pos: Column, x: Column) -> tuple[Column, Column, Column]:
         piece, hit = x.getField("p"), x.getField("h")
-        s = acc["pos"] + F.length(piece)
+        s = pos + F.length(piece)
         e = s + F.coalesce(F.length(hit), F.lit(0))
-        good = hit.isNotNull() & F.coalesce(_valid(kind, hit), F.lit(False))
-        return F.struct(e.alias("pos"), F.when(good, F.array_append(acc["out"], row(s, e, hit, piece))).otherwise(acc["out"]).alias("out"))
+        return e, row(s, e, hit, piece), hit.isNotNull() & F.coalesce(_valid(kind, hit), F.lit(False))
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
     needs = NEEDS.get(kind)
     some = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
-    return F.when(some, found).otherwise(F.expr(f"cast(array() as {kind_type})"))
+    return F.when(some, scan(zipped, F.lit(0), row_type, step)["out"]).otherwise(F.expr(f"cast(array() as array<{row_type}>)"))
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -132,17 +178,14 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def candidates(text: Column) -> Column:
     def row(kind):
-        def made(s, e, hit, piece):
-            label = F.substring(piece, -CONTEXT, CONTEXT).rlike(ANNOUNCED[kind]).cast("int")
-            return F.struct(s.alias("s"), e.alias("e"), _cell(kind, hit, piece).alias("cell"), label.alias("label"))
-        return made
+        return lambda s, e, hit, piece: F.struct(s.alias("s"), e.alias("e"), _cell(kind, hit, piece).alias("cell"))
 
     return F.concat(*[_found(text, kind, pattern, CANDIDATE, row(kind)) for kind, pattern in GENERATORS.items()])
 
 
 def boost(cells: Mapping[tuple[int, ...], tuple[float, float]], rounds: int = ROUNDS, rate: float = RATE):
-    """Gradient boosted depth-2 trees for the log odds of (positives,
-    negatives) by feature tuple; returns a scoring function."""
+    """Gradient boosted trees of depth ``DEPTH`` for the log odds of
+    (positives, negatives) by feature tuple; returns a scoring function."""
     pos, neg = (sum(c[i] for c in cells.values()) for i in (0, 1))
     start = math.log((pos + 0.5) / (neg + 0.5))
     score = dict.fromkeys(cells, start)
@@ -184,7 +227,7 @@ def boost(cells: Mapping[tuple[int, ...], tuple[float, float]], rounds: int = RO
         for c, (p, n) in cells.items():
             q = 1 / (1 + math.exp(-max(-30.0, min(30.0, score[c]))))
             rows.append((c, p - (p + n) * q, (p + n) * q * (1 - q)))
-        tree = grow(rows, 2)
+        tree = grow(rows, DEPTH)
         if not isinstance(tree, tuple):
             break
         trees.append(tree)
@@ -210,18 +253,35 @@ def calibrated(points: Iterable[tuple[float, float, float]]) -> list[tuple[float
     return [(s, p / (p + n)) for s, p, n in steps]
 
 
+def labelled(counts: Mapping[int, float]) -> dict[int, tuple[float, float]]:
+    """(positives, negatives) of each cell from its number of candidates. The
+    share ``HIDDEN`` of the values after an announcing or harmless word counts
+    once more as if the word were another, labelled by its format alone: the
+    trees learn what such values look like, not the words only."""
+    formats: dict[int, list[float]] = defaultdict(lambda: [0.0] * CONTEXTS)
+    for cell, n in counts.items():
+        formats[cell // CONTEXTS][cell % CONTEXTS] += n
+    out = {}
+    for form, own in formats.items():
+        plain = form % 2            # the digit before the word
+        share = 0.0 if plain else own[ANNOUNCING] / ((own[ANNOUNCING] + own[NAMING] + UNLABELLED * own[OTHER]) or 1.0)
+        weight = {OTHER: own[OTHER] + HIDDEN * (own[ANNOUNCING] + own[NAMING]), ANNOUNCING: own[ANNOUNCING], NAMING: own[NAMING]}
+        positive = {OTHER: share, ANNOUNCING: 0.0 if plain else 1.0, NAMING: 0.0}
+        for word, n in weight.items():
+            if n:
+                out[form * CONTEXTS + word] = (positive[word] * n, (1 - positive[word]) * n)
+    return out
+
+
 def fit(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> dict[int, float]:
     """Selected cells and their scores, from the candidates of all texts."""
     fold = (F.pmod(F.xxhash64(F.col(text_col)), F.lit(FOLDS)) == 0).alias("held")
     rows = docs.select(fold, F.explode(candidates(F.col(text_col))).alias("c"))
-    table = rows.groupBy("c.cell", "c.label", "held").agg(F.count(F.lit(1)).alias("n")).collect()      # at most 4 * CELLS rows
-    learn: dict = defaultdict(lambda: [0.0, 0.0])
-    test: dict = defaultdict(lambda: [0.0, 0.0])
-    for r in table:
-        (test if r["held"] else learn)[r["cell"]][0 if r["label"] else 1] += r["n"]
+    table = rows.groupBy("c.cell", "held").agg(F.count(F.lit(1)).alias("n")).collect()      # at most 2 * CELLS rows
+    learn, test = (labelled({r["cell"]: float(r["n"]) for r in table if r["held"] == held}) for held in (False, True))
     if not any(p for p, _ in learn.values()) or not any(p for p, _ in test.values()):
         return {}
-    score = boost({features_of(c): (p, n) for c, (p, n) in learn.items()})
+    score = boost({features_of(c): x for c, x in learn.items()})
     steps = calibrated((score(features_of(c)), p, n) for c, (p, n) in test.items())
     enough = [s for s, share in steps if share >= precision]
     if not enough:
@@ -235,29 +295,51 @@ def with_spans(docs: DataFrame, text_col: str, selected: Mapping[int, float], na
     text = F.col(text_col)
     base = [base_spans(text, kind).alias(kind) for kind in BASE]
     chosen = sorted(selected)
-    both = F.array(F.struct(*base, candidates(text).alias("cand")))
-    scores = F.create_map(*[F.lit(x) for c in chosen for x in (c, float(selected[c]))]) if chosen else None
-
-    def rank(c: Column) -> Column:
-        """Announced first, then by score; null where not selected."""
-        score = F.element_at(scores, c["cell"]) if chosen else F.lit(None).cast("double")
-        return F.when(c["label"] == 1, F.lit(math.inf)).otherwise(score)
-
-    def touches(a: Column, b: Column) -> Column:
-        return (a["s"] < b["e"]) & (b["s"] < a["e"])
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
+    if not chosen:
+        return docs.withColumn(name, F.struct(*base, *[empty.alias(k) for k in GENERATORS]))
+    scores = F.create_map(*[F.lit(x) for c in chosen for x in (c, float(selected[c]))])
+    both = F.struct(*base, F.filter(candidates(text), lambda c: F.map_contains_key(scores, c["cell"])).alias("cand"))
+    place = "struct<s:int,e:int,cell:int>"
+
+    def merged(z: Column) -> Column:
+        """Base spans (cell -1) and candidates in text order."""
+        known = F.transform(F.concat(*[z[k] for k in BASE]), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), F.lit(-1).alias("cell")))
+        return F.sort_array(F.concat(known, z["cand"]))
+
+    def after_base(reached: Column, x: Column) -> tuple[Column, Column, Column]:
+        """Drops candidates that begin before the end of a base span."""
+        own = x["cell"] < 0
+        return F.when(own, F.greatest(reached, x["e"])).otherwise(reached), x, own | (x["s"] >= reached)
+
+    def before_base(least: Column, x: Column) -> tuple[Column, Column, Column]:
+        """In falling order: drops candidates that end after the start of one, and base spans."""
+        own = x["cell"] < 0
+        return F.when(own, F.least(least, x["s"])).otherwise(least), x, ~own & (x["e"] <= least)
+
+    def better(kept: Column, x: Column) -> tuple[Column, Column, Column]:
+        """Holds the last span; a touching one of a higher score replaces it."""
+        apart = kept["cell"].isNull() | (x["s"] >= kept["e"])
+        wins = apart | (F.element_at(scores, x["cell"]) > F.element_at(scores, kept["cell"]))
+        return F.when(wins, x).otherwise(kept), kept, apart & kept["cell"].isNotNull()
+
+    def resolved(z: Column) -> Column:
+        clear = scan(merged(z), F.lit(0), place, after_base)["out"]
+        clear = F.reverse(scan(F.reverse(clear), F.lit(2**31 - 1), place, before_base)["out"])
+        held = scan(clear, F.expr(f"cast(null as {place})"), place, better)
+        return once(held, lambda r: F.when(r["state"]["cell"].isNull(), r["out"]).otherwise(F.array_append(r["out"], r["state"])))
 
     def resolve(z: Column) -> Column:
-        known = F.concat(*[z[k] for k in BASE])
-        kinds = {}
-        for i, kind in enumerate(GENERATORS):
-            good = F.filter(z["cand"], lambda c: rank(c).isNotNull() & ~F.exists(known, lambda b: touches(c, b)))
-            better = lambda c, o: (rank(o) > rank(c)) | (rank(o) == rank(c)) & (o["s"] < c["s"])
-            own = F.filter(good, lambda c: (F.floor(c["cell"] / (CELLS // FEATURES[0][1])) == i)
-                           & ~F.exists(good, lambda o: touches(c, o) & better(c, o)))
-            kinds[kind] = F.transform(own, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
-        return F.struct(*[z[k].alias(k) for k in BASE], *[v.alias(k) for k, v in kinds.items()])
+        kept = F.when(F.size(z["cand"]) > 0, resolved(z)).otherwise(F.expr(f"cast(array() as array<{place}>)"))
+        return F.struct(*[z[k].alias(k) for k in BASE], kept.alias("kept"))
+
+    def by_kind(z: Column) -> Column:
+        def own(i: int) -> Column:
+            mine = F.filter(z["kept"], lambda c: F.floor(c["cell"] / (CELLS // FEATURES[0][1])) == i)
+            return F.transform(mine, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
+        return F.struct(*[z[k].alias(k) for k in BASE], *[own(i).alias(k) for i, k in enumerate(GENERATORS)])
 
-    return docs.withColumn(name, F.element_at(F.transform(both, resolve), 1))
+    return docs.withColumn(name, once(once(both, resolve), by_kind))
 
 
 def _listed(spans: Column, kinds: Iterable[str]) -> Column:
@@ -289,15 +371,31 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     every = F.sort_array(F.concat(*[marks(k) for k in (*BASE, *GENERATORS)]))
     text = F.col("__text")
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<string>)").alias("out"))
+    place = "struct<s:int,e:int,mark:string>"
+    apart = scan(every, F.lit(0), place, lambda pos, x: (F.greatest(pos, x["e"]), x, x["s"] >= pos))["out"]
+
+    def rewritten(spans: Column) -> Column:
+        """A part of the text for each ``CHUNK`` spans, so that no search for a place runs over the whole text."""
+        def part(c: Column) -> Column:
+            start = F.coalesce(F.get(spans, c * CHUNK - 1)["e"], F.lit(0))
+            own = F.slice(spans, c * CHUNK + 1, F.lit(CHUNK))
+
+            def marked(z: Column) -> Column:
+                def piece(x: Column, i: Column) -> Column:
+                    last = F.coalesce(F.get(z["own"], i - 1)["e"], z["start"])
+                    return F.concat(F.substr(z["text"], last - z["start"] + 1, x["s"] - last), x["mark"])
+                return F.array_join(F.transform(z["own"], piece), "")
+
+            def cut(o: Column) -> Column:
+                return F.struct(o.alias("own"), start.alias("start"), F.substr(text, start + 1, F.element_at(o, -1)["e"] - start).alias("text"))
+
+            return once(once(own, cut), marked)
 
-    def step(acc: Column, x: Column) -> Column:
-        between = F.substr(text, acc["pos"] + 1, F.greatest(x["s"] - acc["pos"], F.lit(0)))
-        out = F.when(x["s"] >= acc["pos"], F.concat(acc["out"], F.array(between, x["mark"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), out.alias("out"))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int")), part)
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(spans, -1)["e"] + 1))
 
-    done = F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1)))
-    clean = F.when(F.col(text_col).isNotNull(), F.when(F.size(every) > 0, done).otherwise(text))
+    done = once(apart, lambda spans: F.when(F.size(spans) > 0, rewritten(spans)).otherwise(text))
+    clean = F.when(F.col(text_col).isNotNull(), done)
     out = marked.withColumn(text_col, clean).drop("__pii", "__text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

@@ -237,6 +237,54 @@ def test_announced_secrets_among_hashes(spark):
     assert clean[0] == 'token = "[SECRET]" end' and clean[300] == "passport no [NUMBER]"
 
 
+def test_trees_decide(spark, monkeypatch):
+    """Unannounced secrets are found and hashes left alone, and without trees nothing is added."""
+    rng = random.Random(3)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda: "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(24))
+    rows = [(k, f'{prose(k, 9)} api_key: "{mixed()}Z9z" {prose(k, 4)}') for k in range(120)]              # announced
+    rows += [(1000 + k, f'{prose(k, 7)} the value "{mixed()}Z9z" stands here') for k in range(40)]          # the same, unannounced
+    rows += [(2000 + k, f"{prose(k, 6)} commit {hexes(40)} {prose(k, 3)}") for k in range(150)]             # named as harmless
+    rows += [(3000 + k, f"{prose(k, 6)} see {hexes(40)} {prose(k, 3)}") for k in range(60)]                 # like those
+    rows += [(4000 + k, f"password = {hexes(40)}") for k in range(20)]                                      # announced among hashes
+    rows += [(5000 + k, f"tel: 20{10 + k % 10}-0{1 + k % 9}-1{k % 10} and version 1.2.{k}") for k in range(40)]     # plain, whatever stands before
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    found = lambda lo, hi: sum("secret" in s for i, s in got.items() if lo <= i < hi)
+    assert found(0, 120) == 120 and found(1000, 1040) >= 38 and found(4000, 4020) == 20
+    assert found(2000, 2150) == 0 and found(3000, 3060) == 0 and not any(got[5000 + k] for k in range(40))
+    monkeypatch.setattr(pii, "boost", lambda cells: lambda c: 0.0)             # trees that tell nothing
+    assert not any(r.spans for r in pii.find(df).collect())
+
+
+def test_texts_of_many_matches(spark):
+    n = 20_000
+    rows = [(1, ",".join(f"10.0.{i % 200}.{i % 250}" for i in range(n))), (2, ",".join(f"{i % 97}.{i % 89}" for i in range(n))),
+            (3, " ".join(f"a{i}@b.de" for i in range(700)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    want = brute.base_pii(rows[0][1])["ip"]
+    assert got[1].n_ip == n and got[1].base_sha256 == hashlib.sha256(",".join(f"ip:{a}:{b}" for a, b in want).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[1] == ",".join(["[IP]"] * n) and clean[2] == rows[1][1] and clean[3] == " ".join(["[EMAIL]"] * 700)
+
+
+def test_touching_spans_are_swept(spark):
+    """Added spans never touch a base span or one another."""
+    rng = random.Random(12)
+    bits = ["12-34", "5", "+1 743 555", "abcDEF1234567890x", "_", " ", "-", "a@b.cd", "10.0.0.1", "token = ", "iban ", "é", "4111 1111 1111 1111", "."]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = {c: rng.random() for c in range(pii.CELLS)}
+    for r in pii.with_spans(df, "text", chosen).collect():
+        spans = r["__pii"]
+        base = [tuple(x) for k in pii.BASE for x in spans[k]]
+        added = sorted(tuple(x) for k in pii.GENERATORS for x in spans[k])
+        assert not any(a < f and e < b for a, b in added for e, f in base)
+        assert all(b <= e for (_, b), (e, _) in zip(added, added[1:]))
+        assert all(re.fullmatch(r"[0-9]+(?:[ ./-][0-9]+)+|[A-Za-z0-9_-]{16,}", r.text[a:b]) for a, b in added)
+
+
 def test_calibration_is_monotone():
     steps = pii.calibrated([(0.1, 1, 9), (0.2, 5, 5), (0.3, 3, 7), (0.9, 10, 0)])
     assert [s for s, _ in steps] == sorted(s for s, _ in steps) and [p for _, p in steps] == [0.1, 0.4, 1.0]
@@ -389,6 +437,46 @@ def test_main_text_edges(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def probe_text(n, word):
+    return f"{word} stands in this sentence of the page. " * n
+
+
+def test_main_text_of_odd_wrappers():
+    body = probe_text(12, "Article")
+    whole = " ".join(body.split())
+    extract = lambda page: html_extract.extract(page, None)
+    assert extract(f'<div id="page" class="no-sidebar"><p>{body}</p></div>') == whole
+    assert extract(f'<div class="layout has-sidebar"><article>{body}</article><div class="sidebar"><p>Side words.</p></div></div>') == whole
+    assert extract(f'<div class="sidebar-layout"><div class="post">{body}</div></div>') == whole
+    assert extract(f'<html><body><form action="x"><div class="post"><p>{body}</p></div><input><button>Go</button></form></body></html>') == whole
+    lead = probe_text(4, "Lead")
+    page = f'<body><div class="top"><a href="x">A menu entry</a></div><div class="post"><div class="lead">{lead}</div><div class="text">{body}</div></div></body>'
+    assert extract(page) == " ".join((lead + body).split())
+    assert extract(f'<div class="post"><p>{lead}</p><blockquote>{body}</blockquote></div>') == " ".join((lead + body).split())
+    assert extract(f"<table><tr><td>{lead}</td><td>{body}</td></tr></table>") == " ".join((lead + body).split())
+    assert extract(f'<div class="post"><div class="entry-header"><h1>Title</h1></div>{body}</div>') == "Title " + whole
+    assert extract(f'<div class="comments"><p>{body}</p></div>') == whole                          # nothing else is left
+    assert extract(f'<article>{lead}</article><ol class="comment-list"><li><article class="comment">{body}{body}</article></li></ol>') == " ".join(lead.split())
+    long = html_extract.extract("<div>" * 100_000 + "deep text" + "</div>" * 100_000, None)
+    assert long == "deep text"
+
+
+def test_main_text_without_articles(spark):
+    """The table's pages with their article elements renamed, against an expression; the vote of each host against a count."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="post-12">'), "</article>", "</div><!--end-->"))
+    want, votes = {}, defaultdict(Counter)
+    rows = pages.collect()
+    for r in rows:
+        inner = re.sub(r"</?(b|i|em|strong|a|span)\b[^>]*>", "", re.search(r'<div class="post-12">(.*?)</div><!--end-->', r.html, re.S)[1])
+        inner = re.sub(r'<div class="ad">.*?</div>', " ", inner, flags=re.S)
+        want[r.page_id] = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        votes[re.match(r"https?://([^/:]*)", r.url)[1].lower()][html_extract.voted(r.html)] += 1
+    got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    assert sum(got[k] == want[k] for k in want) == len(want)
+    winners = {r.host: r.path for r in html_extract.host_paths(pages.withColumn("host", html_extract.host_of(F.col("url"))).select("host", "html")).collect()}
+    assert winners == {h: min(c, key=lambda p: (-c[p], p)) for h, c in votes.items()}
+
+
 def test_quality_model(spark, edge, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_model.score_quality(docs, labels).join(labels, "doc_id").collect()
