@@ -152,11 +152,11 @@ def encoder(path: str) -> Encoder:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within, jobs hand texts to Python in batches of at most ``BATCH_ROWS``
-    rows and about ``BATCH_BYTES``: ids take more room than texts, and both
-    sides hold a batch or two."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Within, jobs hand rows to Python in batches of at most ``rows`` rows and
+    about ``size`` bytes: ids take more room than texts, and both sides hold a
+    batch or two."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
