@@ -111,7 +111,7 @@ def test_yeo_johnson_passes(spark, monkeypatch):
     real = type(df).collect
     monkeypatch.setattr(type(df), "collect", lambda self: calls.append(1) or real(self))
     stats = YeoJohnson(list(columns)).fit(df).fitted
-    assert len(calls) <= 7
+    assert len(calls) <= 4
 
     def likelihood(x, lam):
         up = np.log1p(np.abs(x)) if lam == 0 else (np.power(1 + np.abs(x), lam) - 1) / lam
