@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from featflow.llm import text as T
 from featflow.llm.graph import components
+from featflow.llm.order import positions
 from featflow.llm.store import written
 
 NGRAM, BANDS, ROWS = 5, 36, 6
@@ -226,10 +227,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: the smallest id stays, once;
-    rows without an id all stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    keep = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    rows without an id all stay. Where ids repeat, rows are told apart by their
+    place in the order of (id, hash of the text), so a row goes only if its own
+    text has a copy that stays."""
+    known, loose = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    name, columns = id_col, docs.columns
+    if known.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        name = "__row"
+        known = positions(known.withColumn("__hash", F.xxhash64(text_col)), [], [id_col, "__hash"], name, "rows")
+    found = near_duplicates(known, id_col=name, text_col=text_col, **options)
+    keep = found.where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return known.join(keep, name, "left_semi").select(*columns).unionByName(loose)

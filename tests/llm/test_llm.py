@@ -83,6 +83,16 @@ def test_near_duplicates(spark, edge, empty, docs):
     assert Counter(r.doc_id for r in kept.collect())[11] == 1
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Different texts under one id all stay; a copy goes whatever its id."""
+    a, b, c = prose(80, 90), prose(81, 90), prose(82, 90)
+    rows = [(1, a), (1, b), (2, c), (0, a + " end"), (3, b), (3, b), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit(7))
+    kept = near_dup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(0, a + " end", 7), (1, b, 7), (2, c, 7), (None, a, 7)])
+
+
 def test_near_duplicate_blocks(spark, docs):
     """Clusters split into small blocks give the same classes."""
     a = near_dup.near_duplicates(docs).collect()
