@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featflow.operators.evaluate import auc
+from featflow.operators.joins import broadcast_if_small
 
 
 def member_auc(scores: DataFrame, member: str = "model", by: Sequence[str] = ()) -> DataFrame:
@@ -21,7 +22,7 @@ def member_auc(scores: DataFrame, member: str = "model", by: Sequence[str] = ())
 def blend(scores: DataFrame, weights: DataFrame, key: str = "case_id", member: str = "model",
           by: Sequence[str] = (), keep: Sequence[str] = ("label",), name: str = "score") -> DataFrame:
     """Sum of w_member * score per key (members without a weight contribute 0)."""
-    w = F.broadcast(weights.select(*by, member, "w"))  # one row per (group, member)
+    w = broadcast_if_small(weights.select(*by, member, "w"))  # one row per (group, member)
     j = scores.join(w, [*by, member])
     return j.groupBy(key, *by, *keep).agg(F.sum(F.col("score") * F.col("w")).alias(name))
 

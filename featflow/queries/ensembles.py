@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from featflow.functions.parse import round6
 from featflow.operators import ensemble as N
+from featflow.operators.joins import broadcast_if_small
 from featflow.operators.ranking import prefix_sums
 from featflow.operators.scale import Robust
 from featflow.plans.fixtures import cases, scores
@@ -116,7 +117,7 @@ def blend_apply(spark, sf_dir):
     sc = scores(spark, sf_dir)
     fw = N.proportional_weights(N.member_auc(sc, by=["fold"]), by=["fold"]).withColumnRenamed("w", "wf")
     gw = N.proportional_weights(N.member_auc(sc)).withColumnRenamed("w", "wg")
-    j = sc.join(F.broadcast(fw), ["model", "fold"]).join(F.broadcast(gw), "model")  # members x folds rows
+    j = sc.join(broadcast_if_small(fw), ["model", "fold"]).join(broadcast_if_small(gw), "model")  # members x folds rows
     return j.groupBy("case_id", "fold").agg(round6(F.sum(F.col("score") * F.col("wf"))).alias("blend_fold"),
                                             round6(F.sum(F.col("score") * F.col("wg"))).alias("blend_global"))
 
