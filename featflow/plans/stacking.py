@@ -19,7 +19,8 @@ from concurrent.futures import Future
 from functools import reduce
 
 from pyspark.ml import Estimator, Model
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featflow.operators import models as M
@@ -106,11 +107,20 @@ class StackModel(Model):
         return done.drop("features", "rawPrediction", "prediction").withColumnRenamed("_base", "features")
 
     def save(self, path: str) -> None:
-        """Every part under ``path`` with its own writer."""
+        """Every part under ``path`` with its own writer, and the bases' names in order."""
         for name, model in self.bases.items():
             model.write().overwrite().save(f"{path}/base-{name}")
         self.scaler.write().overwrite().save(f"{path}/scaler")
         self.meta.write().overwrite().save(f"{path}/meta")
+        spark = SparkSession.active()
+        spark.createDataFrame(list(enumerate(self.bases)), "place int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/bases")
+
+    @classmethod
+    def load(cls, path: str) -> StackModel:
+        spark = SparkSession.active()
+        names = [r["name"] for r in spark.read.parquet(f"{path}/bases").orderBy("place").collect()]        # one row a base
+        part = lambda name: DefaultParamsReader.loadParamsInstance(f"{path}/{name}", spark)
+        return cls({n: part(f"base-{n}") for n in names}, part("scaler"), part("meta"))
 
 
 class Stack(Estimator):

@@ -220,7 +220,7 @@ def test_ordered_target(spark):
     assert abs(full[2] - (seen[None][0] + 2 * p) / (seen[None][1] + 2)) < 1e-12
 
 
-def test_stack_search_fits_a_base_once_for_its_parameters(spark):
+def test_stack_search_fits_a_base_once_for_its_parameters(spark, tmp_path):
     df = S.stratified_folds(table(spark, 600).withColumn("features", array_to_vector(F.transform("x", lambda v: F.nanvl(v, F.lit(0.0))))), "id", "label", k=3, name="fold").cache()
     made = []
 
@@ -241,6 +241,9 @@ def test_stack_search_fits_a_base_once_for_its_parameters(spark):
     assert scored.count() == 600
     row = result.orderBy("rank").first()
     assert row["mean_score"] > 0.6
+    model.save(str(tmp_path / "stack"))
+    again = M.positive_probability(stacking.StackModel.load(str(tmp_path / "stack")).transform(df)).select("id", "rf", "lr", "probability_1")
+    assert sorted(again.collect()) == sorted(scored.collect())
 
 
 def test_nested_scores_never_see_their_own_fold(spark):
