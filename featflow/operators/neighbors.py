@@ -1,120 +1,180 @@
-"""Exact k-nearest-neighbour join without all-pairs comparison, and the
-SMOTE / Tomek-link operators built on it (I3, I4).
-
-kNN (pivot partitioning + triangle-inequality band join):
-  * a few seeded pivots (bounded, broadcast as literals) split the points
-    into cells by nearest pivot; every point keeps its distance to each pivot;
-  * a point is keyed by (cell, band = floor(dist_to_own_pivot / w));
-  * a query with radius r only needs, in cell c, the bands covering
-    [d(q, pivot_c) - r, d(q, pivot_c) + r] and only cells with
-    d(q, pivot_c) - R_c <= r: by the triangle inequality every point within r
-    of q is among these candidates (an equi-join on (cell, band));
-  * a query with at least k verified neighbours within r is final (exact);
-    the others retry with 2r. No candidate cap: the last radius covers all.
-Each round's unresolved queries are checkpointed (reliable checkpoint in the
-shared folder) so the lineage does not grow with the rounds.
+"""Exact k-nearest-neighbour join with bounded output, and the SMOTE /
+Tomek-link operators built on it (I3, I4).
+
+kNN:
+  * the first rows in a seeded order (at most ``SAMPLE``) are a sample; its first
+    ``n_pivots`` vectors are pivots. The k-th distance of a query to the sample
+    bounds the distance of its k-th neighbour from above;
+  * points and queries are dealt by hash into groups of at most ``GROUP_BYTES``
+    of vectors, and each pair of a query group and a point group is one group of
+    a cogrouped job: memory is bounded, and both tables are copied as often as
+    the other one has groups;
+  * inside a pair the points are sorted by (nearest pivot, distance to it) and cut
+    into blocks. A block is passed over where the triangle inequality keeps it
+    farther than the query's bound; the rest is compared by matrix products.
+    These have a rounding error, so all points within the bound plus that error
+    are measured again by the sum of squared differences, in component order;
+  * a pair returns at most k rows a query, ranked over all point groups by
+    (distance, id). No candidate cap: ties and near ties are all measured.
+Rows without an id, and vectors that are null or hold null or non-finite
+components, take no part; vectors of different length are no neighbours.
 """
 
 from __future__ import annotations
 
 import math
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featflow.operators.ranking import hash_rank
+from featflow.operators.ranking import hash_rank, seeded_hash
 from featflow.session import ensure_checkpoint_dir
 
-
-def _band_struct(cell: int):
-    def f(b):  # one-argument lambda: transform() passes (element) only
-        return F.struct(F.lit(cell).alias("cell"), b.alias("band"))
-    return f
-
-
-def sqdist(a: Column, b: Column, dim: int | None = None) -> Column:
-    """Squared Euclidean distance. ``dim`` unrolls it into a plain sum of
-    element differences; measured on 64-d vectors the compact higher-order
-    form is faster (and keeps generated code under the 64 KB method limit),
-    so the kNN join uses the compact form."""
-    if dim:
-        total = None
-        for i in range(dim):
-            t = (a[i] - b[i]) * (a[i] - b[i])
-            total = t if total is None else total + t
-        return total
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
+SAMPLE, BLOCK = 1024, 1024
+GROUP_BYTES = 32 << 20
 
 
 def _as_double_array(c: str) -> Column:
     return F.col(c).cast("array<double>")
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """A list<double> column of one length as an array of rows."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _roots(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1) - 2 * (q @ p.T), 0))
+
+
+def _measured(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of paired rows, summed up in component order."""
+    total = np.zeros(len(q))
+    for i in range(q.shape[1]):
+        gap = q[:, i] - p[:, i]
+        total += gap * gap
+    return total
+
+
+def _search(q: np.ndarray, q_id: np.ndarray, p: np.ndarray, p_id: np.ndarray, k: int, pivots: np.ndarray,
+            bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, point row, squared distance) of the k nearest points of each
+    query that lie within ``bound`` (squared) or are among these; ids decide ties."""
+    slack = (q.shape[1] + 16) * 1e-15
+    reach = (pivots * pivots).sum(1).max()
+    to_pivot = _roots(p, pivots)
+    cell = to_pivot.argmin(1)
+    own = to_pivot[np.arange(len(p)), cell]
+    order = np.lexsort((own, cell))
+    p, p_id, cell, own, back = p[order], p_id[order], cell[order], own[order], order
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    cuts = [(a, min(a + BLOCK, b)) for x, b in zip(starts, [*starts[1:], len(p)]) for a in range(x, b, BLOCK)]
+    norm_p = (p * p).sum(1)
+    q_pivot = _roots(q, pivots)
+    out = []
+    by_cell = np.argsort(q_pivot.argmin(1), kind="stable")
+    for at in range(0, len(q), BLOCK):
+        rows = by_cell[at:at + BLOCK]
+        mine, ids, far = q[rows], q_id[rows], q_pivot[rows]
+        norm = (mine * mine).sum(1)
+        limit = bound[rows].copy()
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)           # row of the chunk, point, distance
+        gaps = np.stack([np.maximum(far[:, cell[a]] - own[b - 1], own[a] - far[:, cell[a]]) for a, b in cuts], 1)
+        for j in np.argsort(gaps.mean(0), kind="stable"):
+            a, b = cuts[j]
+            error = slack * (norm + norm_p[a:b].max())
+            # roots of rounded squares: their error is at most the root of the squares' error
+            live = np.flatnonzero((gaps[:, j] - 4 * np.sqrt(error + slack * reach)) <= np.sqrt(limit))
+            if not len(live):
+                continue
+            d = norm[live, None] + norm_p[a:b] - 2 * (mine[live] @ p[a:b].T)
+            d[ids[live, None] == p_id[a:b]] = np.inf
+            top = limit[live]
+            if b - a > k:
+                top = np.minimum(top, np.partition(d, k - 1, axis=1)[:, k - 1])
+            near, point = np.nonzero(~(d > (top + 2 * error[live])[:, None]))
+            row, point = live[near], point + a
+            keep = ids[row] != p_id[point]
+            row, point = row[keep], point[keep]
+            exact = np.concatenate([_measured(mine[row[i:i + 65536]], p[point[i:i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+            row, point, exact = (np.concatenate(x) for x in zip(best, (row, point, exact)))
+            by = np.lexsort((p_id[point], exact, row))
+            row, point, exact = row[by], point[by], exact[by]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            best = row[nth < k], point[nth < k], exact[nth < k]
+            kth = nth == k - 1
+            limit[row[kth]] = np.minimum(limit[row[kth]], exact[kth])
+        out.append((rows[best[0]], back[best[1]], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _pair(queries: pa.Table, points: pa.Table, k: int, given: Broadcast) -> pa.Table:
+    """The k nearest of a point group for each row of a query group."""
+    found: list[pa.Table] = []
+    q_size, p_size = (np.asarray(t.column("size")) for t in (queries, points))
+    names, codes = np.unique(np.concatenate([points.column("pid").to_numpy(), queries.column("qid").to_numpy()]), return_inverse=True)
+    for size in np.intersect1d(q_size, p_size):
+        q_at, p_at = np.flatnonzero(q_size == size), np.flatnonzero(p_size == size)
+        q, p = _vectors(queries.column("qv").take(pa.array(q_at))), _vectors(points.column("v").take(pa.array(p_at)))
+        sample, sample_id, pivots = given.value.get(int(size)) or (np.zeros((0, size)), [], 0)
+        bound = np.full(len(q), np.inf)
+        if len(sample) > k:
+            known = dict(zip(names.tolist(), range(len(names))))
+            ids = np.array([known.get(x, -1) for x in sample_id])
+            for i in range(0, len(q), BLOCK):
+                mine = q[i:i + BLOCK]
+                norm, other = (mine * mine).sum(1), (sample * sample).sum(1)
+                d = norm[:, None] + other - 2 * (mine @ sample.T)
+                d[codes[len(p_size) + q_at[i:i + BLOCK], None] == ids] = np.inf
+                bound[i:i + BLOCK] = np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 0) + 2 * (size + 16) * 1e-15 * (norm + other.max())
+        row, point, d = _search(q, codes[len(p_size) + q_at], p, codes[p_at], k, sample[:pivots] if pivots else p[:1], bound)
+        found.append(pa.table({"qid": queries.column("qid").take(pa.array(q_at[row])), "nn_id": points.column("pid").take(pa.array(p_at[point])),
+                               "sqdist": pa.array(d)}))
+    if found:
+        return pa.concat_tables(found)
+    return pa.table({"qid": queries.column("qid").slice(0, 0), "nn_id": points.column("pid").slice(0, 0), "sqdist": pa.array([], pa.float64())})
+
+
 def knn(points: DataFrame, id_col: str, vec_col: str, k: int, queries: DataFrame | None = None,
-        n_pivots: int = 16, seed: int = 42, bands_per_cell: int = 16) -> DataFrame:
+        n_pivots: int = 64, seed: int = 42, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(qid, nn_id, nn_rank 1..k, sqdist) - exact k nearest ``points`` of every
     query (default: the points themselves, excluding the same id); ties by id."""
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
-    pts = points.select(F.col(id_col).alias("pid"), _as_double_array(vec_col).alias("v"))
-    qs = (queries if queries is not None else points).select(F.col(id_col).alias("qid"),
-                                                              _as_double_array(vec_col).alias("qv"))
-    piv_rows = hash_rank(pts, "pid", seed=seed, name="_r").where(F.col("_r") <= n_pivots).select("v").collect()
-    pivots = [list(r["v"]) for r in piv_rows]
-    if not pivots:
-        return spark.createDataFrame([], "qid long, nn_id long, nn_rank int, sqdist double")
-
-    def pivot_dists(v: Column) -> Column:
-        # once per point (not per pair): the compact higher-order form keeps
-        # the generated code small
-        return F.array(*[F.sqrt(sqdist(v, F.array(*[F.lit(float(x)) for x in p]))) for p in pivots])
-
-    pts = pts.withColumn("pd", pivot_dists(F.col("v")))
-    pts = pts.withColumn("dc", F.array_min("pd")).withColumn("cell", F.array_position("pd", F.col("dc")) - 1)
-    cell_rows = pts.groupBy("cell").agg(F.max("dc").alias("R"), F.sum("dc").alias("s"),
-                                        F.count(F.lit(1)).alias("n")).collect()  # <= n_pivots rows
-    stats = {r["cell"]: r["R"] for r in cell_rows}
-    mean_dc = sum(r["s"] for r in cell_rows) / max(1, sum(r["n"] for r in cell_rows))
-    r_max_cell = max(stats.values())
-    w = max(r_max_cell / bands_per_cell, 1e-12)
-    keyed = pts.withColumn("band", F.floor(F.col("dc") / w)).select("pid", "v", "cell", "band").checkpoint()
-
-    qs = qs.withColumn("qpd", pivot_dists(F.col("qv"))).checkpoint()
-    q_far = qs.agg(F.max(F.array_max("qpd")).alias("m")).first()["m"] or 0.0
-    # start near the typical point-to-pivot distance (in high dimension the
-    # neighbour distances are of that order); doubling keeps it exact anyway
-    # a radius from a fixed share of the largest distance on reaches all points in a few doublings
-    radius = max(w, mean_dc, q_far / bands_per_cell)
-    results = []
-    while True:
-        # bands to probe per cell; a cell is skipped when it cannot hold a point within the radius
-        probes = []
-        for c, R in stats.items():
-            d = F.col("qpd")[int(c)]
-            lo = F.greatest(F.floor((d - radius) / w), F.lit(0))
-            hi = F.least(F.floor((d + radius) / w), F.lit(int(math.floor(R / w))))
-            probes.append(F.when(d - R <= radius, F.transform(F.sequence(lo, hi), _band_struct(int(c)))).otherwise(
-                F.array().cast("array<struct<cell:int,band:bigint>>")))
-        keys = qs.select("qid", "qv", F.explode(F.flatten(F.array(*probes))).alias("k")) \
-                 .select("qid", "qv", F.col("k.cell").cast("int").alias("cell"), F.col("k.band").alias("band"))
-        cand = keys.join(keyed, ["cell", "band"]).where(F.col("pid") != F.col("qid")) \
-                   .select("qid", F.col("pid").alias("nn_id"), sqdist(F.col("qv"), F.col("v")).alias("sqdist"))
-        cand = cand.where(F.col("sqdist") <= radius * radius)
-        covers_all = radius >= q_far + r_max_cell   # every point is a candidate
-        w_rank = Window.partitionBy("qid").orderBy("sqdist", "nn_id")
-        ranked = cand.withColumn("nn_rank", F.row_number().over(w_rank).cast("int")) \
-                     .withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("qid"))).checkpoint()
-        done = ranked.where((F.col("found") >= k) | F.lit(covers_all))
-        results.append(done.where(F.col("nn_rank") <= k).select("qid", "nn_id", "nn_rank", "sqdist"))
-        solved = done.select("qid").distinct()
-        qs = qs.join(solved, "qid", "left_anti").checkpoint()
-        if covers_all or qs.limit(1).count() == 0:
-            break
-        radius *= 2.0
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+
+    def usable(df: DataFrame, name: str, vec: str) -> DataFrame:
+        rows = df.select(F.col(id_col).alias(name), _as_double_array(vec_col).alias(vec))
+        fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+        return rows.where(F.col(name).isNotNull() & F.col(vec).isNotNull() & fine).withColumn("size", F.size(vec)).where("size > 0")
+
+    pts = usable(points, "pid", "v").checkpoint()
+    qs = usable(queries, "qid", "qv").checkpoint() if queries is not None else pts.select(F.col("pid").alias("qid"), F.col("v").alias("qv"), "size")
+    id_type, q_type = pts.schema["pid"].dataType.simpleString(), qs.schema["qid"].dataType.simpleString()
+    seen = pts.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).first()
+    asked = seen if queries is None else qs.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).first()
+    if not seen["n"] or not asked["n"] or k < 1:
+        return spark.createDataFrame([], f"qid {q_type}, nn_id {id_type}, nn_rank int, sqdist double")
+    given: dict[int, tuple] = {}
+    for r in pts.orderBy(seeded_hash("pid", seed), "pid").limit(SAMPLE).collect():
+        rows, ids, _ = given.setdefault(r["size"], ([], [], 0))
+        rows.append(r["v"])
+        ids.append(r["pid"])
+    held = spark.sparkContext.broadcast({z: (np.array(v), ids, max(1, min(n_pivots, len(v)))) for z, (v, ids, _) in given.items()})
+    p_groups = math.ceil(8 * seen["s"] / group_bytes)
+    spread = min(2 * spark.sparkContext.defaultParallelism, math.ceil(asked["n"] / BLOCK))
+    q_groups = max(math.ceil(8 * asked["s"] / group_bytes), math.ceil(spread / p_groups))
+    parts = F.sequence(F.lit(0), F.lit(p_groups - 1)), F.sequence(F.lit(0), F.lit(q_groups - 1))
+    left = qs.withColumn("qi", F.pmod(F.xxhash64("qid"), F.lit(q_groups)).cast("int")).withColumn("pj", F.explode(parts[0]))
+    right = pts.withColumn("pj", F.pmod(F.xxhash64("pid"), F.lit(p_groups)).cast("int")).withColumn("qi", F.explode(parts[1]))
+    pairs = left.groupBy("qi", "pj").cogroup(right.groupBy("qi", "pj")).applyInArrow(
+        partial(_pair, k=k, given=held), f"qid {q_type}, nn_id {id_type}, sqdist double")
+    ranked = pairs.withColumn("nn_rank", F.row_number().over(Window.partitionBy("qid").orderBy("sqdist", "nn_id")).cast("int"))
+    return ranked.where(F.col("nn_rank") <= k).select("qid", "nn_id", "nn_rank", "sqdist").checkpoint()
 
 
 def smote(df: DataFrame, id_col: str, vec_col: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
