@@ -85,6 +85,24 @@ class FoldStore:
 
         return self._once(("scores", base, json.dumps(params, sort_keys=True), outer), made)
 
+    def matrix(self, bases: Mapping[str, Mapping], outer=None, balanced: bool = False) -> tuple:
+        """What the meta models of some bases are fitted on: the scaler, the
+        scaled scores (written), their number, and the name of the weights."""
+        def made():
+            names, weight = list(bases), None
+            rows = self.data.select(self.key, self.label)
+            for name in names:
+                rows = rows.join(self.scores(name, bases[name], outer), self.key)
+            rows = rows.checkpoint()
+            scaler = Robust(names).fit(rows)
+            train = M.assemble(scaler.transform(rows), names)
+            if balanced:
+                weight = "_class_weight"
+                train = class_weights(train, self.label, "balanced", name=weight)
+            return scaler, train, rows.count(), weight
+
+        return self._once(("matrix", json.dumps(list(bases.items()), sort_keys=True), outer, balanced), made)
+
 
 class StackModel(Model):
     """Base models, a robust scaler and a meta model; adds ``probability``
@@ -139,25 +157,17 @@ class Stack(Estimator):
         self.meta = meta or (lambda n_rows, weight_col=None, C=1.0: M.logistic(C=C, n_rows=n_rows, weight_col=weight_col))
 
     def _fit(self, df: DataFrame) -> StackModel:
-        store, names = self.store, list(self.bases)
+        store = self.store
         have = {r[0] for r in df.select(store.fold).distinct().collect()}
         missing = [k for k in store.folds if k not in have]
         if len(missing) > 1 or have - set(store.folds):
             raise ValueError("fit on the store's rows, or on all of them but one fold")
         outer = missing[0] if missing else None
-        rows = df.select(store.key, store.label)
-        for name in names:
-            rows = rows.join(store.scores(name, self.bases[name], outer), store.key)
-        rows = rows.checkpoint()
-        scaler = Robust(names).fit(rows)
-        train, weight = M.assemble(scaler.transform(rows), names), None
-        if self.balanced:
-            weight = "_class_weight"
-            train = class_weights(train, store.label, "balanced", name=weight)
+        scaler, train, n_rows, weight = store.matrix(self.bases, outer, self.balanced)
         options = {"weight_col": weight} if weight else {}
-        meta = self.meta(n_rows=rows.count(), **options, **self.meta_params).fit(train)
+        meta = self.meta(n_rows=n_rows, **options, **self.meta_params).fit(train)
         without = [outer] if outer is not None else []
-        return StackModel({n: store.model(n, self.bases[n], without) for n in names}, scaler, meta)
+        return StackModel({n: store.model(n, self.bases[n], without) for n in self.bases}, scaler, meta)
 
 
 def draws(space: Mapping[str, Sequence], n_iter: int, seed: int = 42) -> list[dict]:
