@@ -3,11 +3,14 @@
 Binning. Numeric features get quantile cuts, categorical ones a bin for each
 of their most frequent levels (``bins`` - 2 of them, rarer ones share one); the
 last bin is for missing and unseen values. One aggregate finds the cuts, and
-every row then is a few bytes of bins, a label, a weight and a margin.
-
-Growth. A histogram pass sums gradient, hessian and count by (node, feature,
-bin) inside each partition, routing rows through the tree so far, and adds the
-partitions up by (node, feature); only these sums reach the driver, at most
+every row then is a few bytes of bins, a label, a weight and a margin. Rows are
+held as blocks, a record for up to an Arrow batch of them with an array for
+each column, so a pass does not convert them one by one.
+
+Growth. Gradients and hessians are made once a tree and held. A histogram pass
+sums gradient, hessian and count by (node, feature, bin) inside each partition,
+routing rows through the tree so far, and adds the partitions up by (node,
+feature); only these sums reach the driver, at most
 leaves x features x bins whatever the rows. Of two children the smaller one is
 summed and the other is the difference to their parent. Leaf-wise growth takes
 the open leaf with the highest gain until ``max_leaves``; passes are a level at
@@ -46,7 +49,9 @@ DEFAULTS = {"label": "label", "features": "features", "weight": None, "validatio
             "max_leaves": 31, "max_depth": 8, "l1": 0.0, "l2": 1.0, "min_child_weight": 1e-3, "min_child_rows": 20, "min_gain": 0.0,
             "cat_smooth": 10.0, "subsample": 1.0, "colsample": 1.0, "bins": 64, "patience": 0, "metric": "auc", "block": 10, "seed": 42}
 DIRECT_BYTES = 32 << 20
-_ROWS = "bins binary, y double, w double, held boolean, u double, margin double"
+#: Blocks of rows, all held or none: bins by feature as uint8, the others as doubles.
+_ROWS = "bins binary, y binary, w binary, held boolean, u binary, margin binary"
+_GRADIENTS = "bins binary, g binary, h binary"
 
 
 # ---- bins ----------------------------------------------------------------------------------------
@@ -98,78 +103,100 @@ def binned(x: np.ndarray, spec: Sequence[dict], bins: int) -> np.ndarray:
 
 def _bin_rows(batches: Iterator[pa.RecordBatch], spec: list[dict], bins: int, start: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
         b = binned(matrix(batch.column("x")), spec, bins)
-        ends = pa.py_buffer((np.arange(n + 1) * b.shape[1]).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(b).tobytes())]), batch.column("y"), batch.column("w"),
-             batch.column("held"), batch.column("u"), pa.array(np.full(n, start))], names=[c.split()[0] for c in _ROWS.split(", ")])
+        y, w, u = (batch.column(c).to_numpy() for c in ("y", "w", "u"))
+        held = batch.column("held").to_numpy(zero_copy_only=False)
+        blocks = [(k, np.flatnonzero(held == k)) for k in (False, True)]
+        yield _batch(_ROWS, [(b[at].T.tobytes(), y[at].tobytes(), w[at].tobytes(), k, u[at].tobytes(), np.full(len(at), float(start)).tobytes())
+                             for k, at in blocks if len(at)])
+
 
+def _batch(schema: str, blocks: Sequence[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    kind = {"binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in blocks], kind[k]) for i, k in enumerate(kinds)], names=list(names))
 
-def _bins_of(batch: pa.RecordBatch) -> np.ndarray:
-    col = batch.column("bins")
-    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
-    return np.frombuffer(col.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(len(col), -1)
+
+def _blocks(batches: Iterator[pa.RecordBatch], numbers: Sequence[str]) -> Iterator[tuple]:
+    """(bins as rows x features, held or None, an array for each of ``numbers``) of every block."""
+    for batch in batches:
+        held = batch.column("held").to_pylist() if "held" in batch.schema.names else [None] * batch.num_rows
+        for i in range(batch.num_rows):
+            values = [np.frombuffer(batch.column(c)[i].as_buffer()) for c in numbers]
+            b = np.frombuffer(batch.column("bins")[i].as_buffer(), np.uint8)
+            yield b.reshape(-1, len(values[0])).T, held[i], *values
 
 
 # ---- trees ---------------------------------------------------------------------------------------
 
 def route(b: np.ndarray, tree: dict) -> np.ndarray:
-    """The node of each row: ``tree`` has feature (-1: leaf), left, right and
-    the table ``goes_left`` (node x bin)."""
-    feature, left, right, goes_left = tree["feature"], tree["left"], tree["right"], tree["goes_left"]
-    node = np.zeros(len(b), np.int32)
-    rows = np.arange(len(b))
-    while True:
-        f = feature[node]
-        live = f >= 0
-        if not live.any():
-            return node
-        at = rows[live]
-        side = goes_left[node[at], b[at, f[at]]]
-        node[at] = np.where(side, left[node[at]], right[node[at]])
+    """The node of each row: ``tree`` is as ``as_arrays`` gives it. Leaves lead
+    to themselves, so a level is one step of all rows."""
+    n, bins = len(b), tree["goes_left"].shape[1]
+    flat, rows = np.ascontiguousarray(b.T).reshape(-1), np.arange(n)        # blocks are stored by feature: no copy
+    first, kid = tree["feature"].astype(np.int64).clip(0) * n, tree["kid"]
+    node = np.zeros(n, np.int64)
+    for _ in range(tree["depth"]):
+        at = first[node]
+        at += rows
+        node *= bins
+        node += flat[at]
+        node = kid[node]
+    return node
 
 
 def as_arrays(tree: dict, bins: int) -> dict:
+    """feature (-1: leaf), left, right, value, the table ``goes_left`` (node x
+    bin), ``kid`` (node a bin leads to, as node * bins + bin) and ``depth``."""
     n = len(tree["feature"])
     table = np.zeros((n, bins), bool)
     for i, bs in enumerate(tree["bins_left"]):
         table[i, bs] = True
-    return {"feature": np.array(tree["feature"], np.int32), "left": np.array(tree["left"], np.int32), "right": np.array(tree["right"], np.int32),
-            "goes_left": table, "value": np.array(tree["value"], np.float64)}
+    feature, left, right = (np.array(tree[c], np.int32) for c in ("feature", "left", "right"))
+    kid = np.where(feature[:, None] >= 0, np.where(table, left[:, None], right[:, None]), np.arange(n)[:, None])
+    depth, level = 0, [0]
+    while level := [k for i in level if feature[i] >= 0 for k in (left[i], right[i])]:
+        depth += 1
+    return {"feature": feature, "left": left, "right": right, "goes_left": table, "kid": kid.astype(np.int64).reshape(-1), "depth": depth,
+            "value": np.array(tree["value"], np.float64)}
 
 
 def margins(b: np.ndarray, trees: Sequence[dict]) -> np.ndarray:
-    total = np.zeros(len(b))
+    total, b = np.zeros(len(b)), np.asfortranarray(b)
     for t in trees:
         total += t["value"][route(b, t)]
     return total
 
 
-def _histograms(batches: Iterator[pa.RecordBatch], done: list[dict], tree: dict, build: list[int], width: int, bins: int,
-                sample: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+def _gradients(batches: Iterator[pa.RecordBatch], done: list[dict], sample: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """Training rows of a round with gradient and hessian."""
+    share, turn = sample
+    for b, held, y, w, u, margin in _blocks(batches, ("y", "w", "u", "margin")):
+        if held:
+            continue
+        if share < 1:
+            take = np.flatnonzero(np.mod(u + turn, 1.0) < share)
+            b, y, w, margin = b[take], y[take], w[take], margin[take]
+        if len(y):
+            p = 1 / (1 + np.exp(-(margin + margins(b, done))))
+            yield _batch(_GRADIENTS, [(b.T.tobytes(), (w * (p - y)).tobytes(), (w * p * (1 - p)).tobytes())])
+
+
+def _histograms(batches: Iterator[pa.RecordBatch], tree: dict, build: list[int], width: int, bins: int) -> Iterator[pa.RecordBatch]:
     """(slot, feature, part, sums) of the nodes ``build``: gradient, hessian and rows by bin."""
     slot = np.full(len(tree["feature"]), -1)
     slot[build] = np.arange(len(build))
     sums = np.zeros((len(build), width, bins, 3))
-    for batch in batches:
-        b = _bins_of(batch)
-        if not len(b):
-            continue
-        take = ~batch.column("held").to_numpy(zero_copy_only=False)
-        share, turn = sample
-        if share < 1:
-            take &= np.mod(batch.column("u").to_numpy() + turn, 1.0) < share
+    for b, _, g, h in _blocks(batches, ("g", "h")):
         at = slot[route(b, tree)]
-        take &= at >= 0
-        b, at = b[take], at[take]
-        p = 1 / (1 + np.exp(-(batch.column("margin").to_numpy()[take] + margins(b, done))))
-        w = batch.column("w").to_numpy()[take]
-        g, h = w * (p - batch.column("y").to_numpy()[take]), w * p * (1 - p)
+        take = np.flatnonzero(at >= 0)
+        if len(take) < len(at):
+            b, at, g, h = b.T[:, take].T, at[take], g[take], h[take]
+        at = at * bins
         for f in range(width):
-            key = at * bins + b[:, f]
+            key = at + b[:, f]
             for k, v in enumerate((g, h, None)):
                 sums[:, f, :, k] += np.bincount(key, v, minlength=len(build) * bins).reshape(len(build), bins)
     part = TaskContext.get().partitionId()
@@ -198,15 +225,24 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
+def gradients(rows: DataFrame, done: list[dict], sample: tuple[float, float] = (1.0, 0.0)) -> DataFrame:
+    """Blocks of the training rows with what the next tree is grown from."""
+    return rows.mapInArrow(partial(_gradients, done=done, sample=sample), _GRADIENTS)
+
+
 def histograms(rows: DataFrame, done: list[dict], tree: dict, build: list[int], width: int, bins: int,
                sample: tuple[float, float] = (1.0, 0.0)) -> np.ndarray:
-    """(nodes, features, bins, 3) sums over the training rows. The sums of the
-    partitions are added in Spark; where all of them together are below
-    ``DIRECT_BYTES`` the driver adds them, in the same order."""
-    parts = rows.mapInArrow(partial(_histograms, done=done, tree=tree, build=build, width=width, bins=bins, sample=sample),
-                            "slot int, feature int, part int, sums binary")
+    """(nodes, features, bins, 3) sums over the training rows."""
+    return added_histograms(gradients(rows, done, sample), tree, build, width, bins)
+
+
+def added_histograms(found: DataFrame, tree: dict, build: list[int], width: int, bins: int) -> np.ndarray:
+    """``histograms`` of given gradients. The sums of the partitions are added
+    in Spark; where all of them together are below ``DIRECT_BYTES`` the driver
+    adds them, in the same order."""
+    parts = found.mapInArrow(partial(_histograms, tree=tree, build=build, width=width, bins=bins), "slot int, feature int, part int, sums binary")
     out = np.zeros((len(build), width, bins, 3))
-    if rows._jdf.rdd().getNumPartitions() * out.nbytes <= DIRECT_BYTES:
+    if found._jdf.rdd().getNumPartitions() * out.nbytes <= DIRECT_BYTES:
         for r in sorted(parts.collect(), key=lambda r: r["part"]):
             out[r["slot"], r["feature"]] += np.frombuffer(r["sums"]).reshape(bins, 3)
         return out
@@ -304,14 +340,22 @@ class _Growing:
 
 
 def grow_tree(rows: DataFrame, done: list[dict], spec: list[dict], conf: dict, number: int) -> dict:
-    bins, width = conf["bins"], len(spec)
+    width = len(spec)
     rng = np.random.default_rng([conf["seed"], number])
     use = sorted(rng.choice(width, max(1, round(conf["colsample"] * width)), replace=False).tolist())
-    sample = (conf["subsample"], float(rng.random()))
+    found = gradients(rows, done, (conf["subsample"], float(rng.random()))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _grown(found, spec, conf, use)
+    finally:
+        found.unpersist()
+
+
+def _grown(found: DataFrame, spec: list[dict], conf: dict, use: Sequence[int]) -> dict:
+    bins, width = conf["bins"], len(spec)
     tree = _Growing(bins)
     tree.add(0)
     leaf = as_arrays({"feature": [-1], "left": [-1], "right": [-1], "bins_left": [[]], "value": [0.0]}, bins)
-    tree.hist[0] = histograms(rows, done, leaf, [0], width, bins, sample)[0]
+    tree.hist[0] = added_histograms(found, leaf, [0], width, bins)[0]
     fresh = [0]
     while True:
         for node in fresh:
@@ -329,7 +373,7 @@ def grow_tree(rows: DataFrame, done: list[dict], spec: list[dict], conf: dict, n
             small.append(tree.kids[node][0 if 2 * rows_left <= tree.hist[node][f, :, 2].sum() else 1])
         known = [n for n in range(len(tree.kids)) if tree.kids[n]]
         now = tree.arrays(known, lambda n: 0.0)
-        sums = histograms(rows, done, as_arrays(now, bins), [now["_at"][n] for n in small], width, bins, sample)
+        sums = added_histograms(found, as_arrays(now, bins), [now["_at"][n] for n in small], width, bins)
         fresh = []
         for node, child, hist in zip(expand, small, sums):
             other = sum(tree.kids[node]) - child
@@ -340,20 +384,16 @@ def grow_tree(rows: DataFrame, done: list[dict], spec: list[dict], conf: dict, n
 # ---- rounds --------------------------------------------------------------------------------------
 
 def _advance(batches: Iterator[pa.RecordBatch], trees: list[dict]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            at = batch.schema.get_field_index("margin")
-            yield batch.set_column(at, "margin", pa.array(batch.column("margin").to_numpy() + margins(_bins_of(batch), trees)))
+    for b, held, y, w, u, margin in _blocks(batches, ("y", "w", "u", "margin")):
+        yield _batch(_ROWS, [(b.T.tobytes(), y.tobytes(), w.tobytes(), held, u.tobytes(), (margin + margins(b, trees)).tobytes())])
 
 
 def _staged(batches: Iterator[pa.RecordBatch], trees: list[dict], metric: str) -> Iterator[pa.RecordBatch]:
     """Validation rows by (round, score): weights of both classes, or the loss of a round."""
-    for batch in batches:
-        held = batch.column("held").to_numpy(zero_copy_only=False)
-        if not held.any():
+    for b, held, y, w, margin in _blocks(batches, ("y", "w", "margin")):
+        if not held:
             continue
-        b, y, w = _bins_of(batch)[held], batch.column("y").to_numpy()[held], batch.column("w").to_numpy()[held]
-        m = batch.column("margin").to_numpy()[held].copy()
+        m = margin.copy()
         out = []
         for k, t in enumerate(trees):
             m += t["value"][route(b, t)]
