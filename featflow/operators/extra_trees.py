@@ -45,55 +45,78 @@ def drawn_cuts(seed: int, tree: int, path: int, low: np.ndarray, high: np.ndarra
 
 
 def route(x: np.ndarray, tree: dict) -> np.ndarray:
-    feature, cut, left, right = tree["feature"], tree["cut"], tree["left"], tree["right"]
-    node = np.zeros(len(x), np.int64)
-    while True:
-        f = feature[node]
-        live = np.flatnonzero(f >= 0)
-        if not len(live):
-            return node
-        at = node[live]
-        goes = x[live, f[live]] <= cut[at]
-        node[live] = np.where(goes, left[at], right[at])
+    """The node of each row (a missing value goes right). Leaves lead to
+    themselves, so a level is one step of all rows."""
+    n = len(x)
+    flat, rows = np.ascontiguousarray(x.T).reshape(-1), np.arange(n)        # no copy of values laid out by feature
+    first, cut, kid = tree["feature"].clip(0) * n, tree["cut"], tree["kid"]
+    node, at, cut_at, value = np.zeros(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n)
+    for _ in range(tree["depth"]):
+        first.take(node, out=at, mode="clip")
+        at += rows
+        cut.take(node, out=cut_at, mode="clip")
+        flat.take(at, out=value, mode="clip")
+        node *= 2
+        node += value <= cut_at
+        kid.take(node, out=at, mode="clip")
+        node, at = at, node
+    return node
 
 
 def _arrays(tree: dict) -> dict:
-    return {"feature": np.array(tree["feature"], np.int64), "cut": np.array([0.0 if c is None else c for c in tree["cut"]]),
-            "left": np.array(tree["left"], np.int64), "right": np.array(tree["right"], np.int64)}
+    """``kid``: where a row goes from a node, right and left in turn."""
+    feature, left, right = (np.array(tree[c], np.int64) for c in ("feature", "left", "right"))
+    own = np.arange(len(feature))
+    kid = np.stack([np.where(feature >= 0, right, own), np.where(feature >= 0, left, own)], axis=1).reshape(-1)
+    depth, level = 0, [0]
+    while level := [k for i in level if feature[i] >= 0 for k in (left[i], right[i])]:
+        depth += 1
+    return {"feature": feature, "cut": np.array([0.0 if c is None else c for c in tree["cut"]]), "kid": kid, "depth": depth}
 
 
 def _level(batches: Iterator[pa.RecordBatch], trees: list[dict], open_: list[dict], cuts: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     """(tree, part, sums): ranges as (low, -high) or class weights left of the cuts."""
     sums = [np.full((*o["features"].shape, 2), np.inf) if cuts is None else np.zeros((*o["features"].shape, 3)) for o in open_]
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        x = matrix(batch.column("x"))
+        x = np.asfortranarray(matrix(batch.column("x")))
+        flat = x.T.reshape(-1)
         y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
+        # rows of weight 1 and class 0 or 1 are counted, others weighed
+        side = y == 1 if (w == 1).all() and ((y == 0) | (y == 1)).all() else None
         for t, (tree, o) in enumerate(zip(trees, open_)):
-            if not len(o["nodes"]):
+            m, k = o["features"].shape
+            if not m:
                 continue
-            slot = np.full(len(tree["feature"]), -1)
-            slot[o["nodes"]] = np.arange(len(o["nodes"]))
-            at = slot[route(x, tree)]
-            rows = np.flatnonzero(at >= 0)
-            at = at[rows]
-            v = x[rows[:, None], o["features"][at]]                            # rows x drawn features
-            k = o["features"].shape[1]
-            if cuts is None:
-                v = np.where(np.isnan(v), np.nan, v)
-                for j in range(k):
-                    ok = ~np.isnan(v[:, j])
-                    np.minimum.at(sums[t][:, j, 0], at[ok], v[ok, j])
-                    np.minimum.at(sums[t][:, j, 1], at[ok], -v[ok, j])
-            else:
-                for j in range(k):
-                    goes = v[:, j] <= cuts[t][at, j]
-                    key, wy = at[goes], w[rows][goes]
-                    m = len(o["nodes"])
-                    sums[t][:, j, 0] += np.bincount(key, wy * (1 - y[rows][goes]), minlength=m)
-                    sums[t][:, j, 1] += np.bincount(key, wy * y[rows][goes], minlength=m)
-                    sums[t][:, j, 2] += np.bincount(key, minlength=m)
+            slot = np.full(len(tree["feature"]), m, np.uint16 if m < 1 << 16 else np.int64)
+            slot[o["nodes"]] = np.arange(m)
+            at = slot.take(route(x, tree), mode="clip")
+            rows = np.argsort(at, kind="stable")                               # by open node; the others at the end
+            size = np.bincount(at, minlength=m + 1)[:m]
+            rows = rows[:size.sum()]
+            met = np.flatnonzero(size)
+            if not len(met):
+                continue
+            starts, weigh = np.cumsum(size[met]) - size[met], None
+            if cuts is not None and side is not None:
+                weigh = side[rows]
+            elif cuts is not None:
+                weigh = w[rows] * (1 - y[rows]), w[rows] * y[rows]
+            for j in range(k):
+                v = flat.take(np.repeat(o["features"][:, j] * n, size) + rows, mode="clip")
+                if cuts is None:                                               # fmin and fmax pass over missing values
+                    sums[t][met, j, 0] = np.fmin(sums[t][met, j, 0], np.fmin.reduceat(v, starts))
+                    sums[t][met, j, 1] = np.fmin(sums[t][met, j, 1], -np.fmax.reduceat(v, starts))
+                    continue
+                goes = v <= np.repeat(cuts[t][:, j], size)
+                count = np.add.reduceat(goes, starts, dtype=np.int64)
+                if side is not None:
+                    one = np.add.reduceat(goes & weigh, starts, dtype=np.int64)
+                    sums[t][met, j] += np.stack([count - one, one, count], axis=1)
+                else:
+                    sums[t][met, j] += np.stack([*(np.add.reduceat(np.where(goes, c, 0.0), starts) for c in weigh), count], axis=1)
     part = TaskContext.get().partitionId()
     live = [t for t, s in enumerate(sums) if s.size]
     yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([part] * len(live), pa.int32()),
