@@ -11,9 +11,12 @@ kNN:
     the other one has groups;
   * inside a pair the points are sorted by (nearest pivot, distance to it) and cut
     into blocks. A block is passed over where the triangle inequality keeps it
-    farther than the query's bound; the rest is compared by matrix products.
-    These have a rounding error, so all points within the bound plus that error
-    are measured again by the sum of squared differences, in component order;
+    farther than the query's bound; the rest is compared by matrix products of
+    single precision, of vectors less a centre. Queries that may have a point of
+    the block within their bound plus the rounding error are compared again in
+    double precision. These products have a rounding error, too, so all points
+    within the bound plus that error are measured by the sum of squared
+    differences, in component order;
   * a pair returns at most k rows a query, ranked over all point groups by
     (distance, id). No candidate cap: ties and near ties are all measured.
 Rows without an id, and vectors that are null or hold null or non-finite
@@ -36,6 +39,7 @@ from featflow.session import ensure_checkpoint_dir
 
 SAMPLE, BLOCK = 1024, 1024
 GROUP_BYTES = 32 << 20
+MAX_TASKS = 10_000
 
 
 def _as_double_array(c: str) -> Column:
@@ -61,6 +65,27 @@ def _measured(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return total
 
 
+class _Coarse:
+    """Squared distances in single precision, less the queries' squared lengths.
+    The error is bounded relative to the sum of both squared lengths, by twice
+    what rounding of input, products and sums can come to."""
+
+    def __init__(self, q: np.ndarray, p: np.ndarray, centre: np.ndarray):
+        q, p = q - centre, p - centre
+        self.usable = 1e-12 < max(np.abs(q).max(), np.abs(p).max()) < 1e15           # squares neither run over nor vanish beside the largest
+        if self.usable:
+            self.size_q, self.size_p = (q * q).sum(1), (p * p).sum(1)
+            self.q, self.p = np.c_[q, np.ones(len(q))].astype(np.float32), np.c_[-2 * p, self.size_p].astype(np.float32)
+            self.share = (q.shape[1] + 16) * 2.5e-7
+
+    def within(self, rows: np.ndarray, a: int, b: int, limit: np.ndarray) -> np.ndarray:
+        """Places of the query ``rows`` that may have one of the points a to b within their ``limit``."""
+        if not self.usable:
+            return np.arange(len(rows))
+        error = self.share * (self.size_q[rows] + self.size_p[a:b].max()) + 1e-37
+        return np.flatnonzero((self.q[rows] @ self.p[a:b].T).min(1) <= limit - self.size_q[rows] + error)
+
+
 def _search(q: np.ndarray, q_id: np.ndarray, p: np.ndarray, p_id: np.ndarray, k: int, pivots: np.ndarray,
             bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, point row, squared distance) of the k nearest points of each
@@ -76,6 +101,7 @@ def _search(q: np.ndarray, q_id: np.ndarray, p: np.ndarray, p_id: np.ndarray, k:
     cuts = [(a, min(a + BLOCK, b)) for x, b in zip(starts, [*starts[1:], len(p)]) for a in range(x, b, BLOCK)]
     norm_p = (p * p).sum(1)
     q_pivot = _roots(q, pivots)
+    coarse = _Coarse(q, p, pivots.mean(0))
     out = []
     by_cell = np.argsort(q_pivot.argmin(1), kind="stable")
     for at in range(0, len(q), BLOCK):
@@ -90,13 +116,14 @@ def _search(q: np.ndarray, q_id: np.ndarray, p: np.ndarray, p_id: np.ndarray, k:
             error = slack * (norm + norm_p[a:b].max())
             # roots of rounded squares: their error is at most the root of the squares' error
             live = np.flatnonzero((gaps[:, j] - 4 * np.sqrt(error + slack * reach)) <= np.sqrt(limit))
+            live = live[coarse.within(rows[live], a, b, limit[live])]
             if not len(live):
                 continue
             d = norm[live, None] + norm_p[a:b] - 2 * (mine[live] @ p[a:b].T)
             d[ids[live, None] == p_id[a:b]] = np.inf
             top = limit[live]
             if b - a > k:
-                top = np.minimum(top, np.partition(d, k - 1, axis=1)[:, k - 1])
+                top = np.minimum(top, d.min(1) if k == 1 else np.partition(d, k - 1, axis=1)[:, k - 1])
             near, point = np.nonzero(~(d > (top + 2 * error[live])[:, None]))
             row, point = live[near], point + a
             keep = ids[row] != p_id[point]
@@ -166,11 +193,14 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, queries: DataFrame
         ids.append(r["pid"])
     held = spark.sparkContext.broadcast({z: (np.array(v), ids, max(1, min(n_pivots, len(v)))) for z, (v, ids, _) in given.items()})
     p_groups = math.ceil(8 * seen["s"] / group_bytes)
-    spread = min(2 * spark.sparkContext.defaultParallelism, math.ceil(asked["n"] / BLOCK))
+    spread = min(4 * spark.sparkContext.defaultParallelism, math.ceil(asked["n"] / BLOCK))
     q_groups = max(math.ceil(8 * asked["s"] / group_bytes), math.ceil(spread / p_groups))
     parts = F.sequence(F.lit(0), F.lit(p_groups - 1)), F.sequence(F.lit(0), F.lit(q_groups - 1))
     left = qs.withColumn("qi", F.pmod(F.xxhash64("qid"), F.lit(q_groups)).cast("int")).withColumn("pj", F.explode(parts[0]))
     right = pts.withColumn("pj", F.pmod(F.xxhash64("pid"), F.lit(p_groups)).cast("int")).withColumn("qi", F.explode(parts[1]))
+    # about a pair a task: its time follows from the pairs, not from the bytes that Spark would merge tasks by
+    tasks = min(q_groups * p_groups, MAX_TASKS)
+    left, right = left.repartition(tasks, "qi", "pj"), right.repartition(tasks, "qi", "pj")
     pairs = left.groupBy("qi", "pj").cogroup(right.groupBy("qi", "pj")).applyInArrow(
         partial(_pair, k=k, given=held), f"qid {q_type}, nn_id {id_type}, sqdist double")
     ranked = pairs.withColumn("nn_rank", F.row_number().over(Window.partitionBy("qid").orderBy("sqdist", "nn_id")).cast("int"))
